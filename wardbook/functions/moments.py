@@ -62,5 +62,9 @@ def last_days(column: Column, as_of: Moment | None, days: int = 30) -> Column:
 
 
 def start_of_day(column: Column) -> Column:
-    """Midnight of the column's day, still a zone-free timestamp."""
-    return F.date_trunc("day", column).cast("timestamp_ntz")
+    """Midnight of the column's day, still a zone-free timestamp.
+
+    Goes through the date type, because ``date_trunc`` would pass through the
+    session's time zone.
+    """
+    return column.cast("date").cast("timestamp_ntz")

@@ -192,12 +192,15 @@ REVENUE_GROUP = ["doctor", "department", "sub_ldgr_desc", "patient_type", "cl_na
 ENCOUNTER_GROUP = [*DOCUMENT, *STAY, "invoice_no", "doctor", "department", "patient_type"]
 
 
-def named_lines(tables: Tables, sub_ledger: str | None, each_name_once: bool) -> DataFrame:
-    """Bill lines with income head, client and sub-ledger names; NULLs in any of the keys drop out.
+def with_names(
+    tables: Tables, lines: DataFrame, sub_ledger: str | None, each_name_once: bool
+) -> DataFrame:
+    """Add income head, client and sub-ledger names; a NULL in any of the keys drops the line.
 
     The sub-ledger is found by item code alone, so a code listed under two
     ledger types repeats the line.  ``each_name_once`` lists every (key, name)
-    pair once, which is all a set union can tell apart.
+    pair once, which is all a set union can tell apart.  Names are added after
+    the lines met their document, so the big shuffle carries codes only.
     """
     heads = tables.income_setup.select("income_id", F.col("income_description").alias("in_setup"))
     clients = tables.client.select("client_id", F.col("name").alias("cl_name"))
@@ -207,19 +210,16 @@ def named_lines(tables: Tables, sub_ledger: str | None, each_name_once: bool) ->
     ).where(matches_if_given(F.col("sub_ldgr_desc"), sub_ledger))
     if each_name_once:
         heads, clients, ledgers = heads.distinct(), clients.distinct(), ledgers.distinct()
-    return (
-        bill_lines(tables)
-        .join(heads, "income_id")
-        .join(clients, "client_id")
-        .join(ledgers, "department_id")
-    )
+    return lines.join(heads, "income_id").join(clients, "client_id").join(ledgers, "department_id")
 
 
 def revenue_as_bag(tables: Tables, encounters: DataFrame, filters: Filters) -> DataFrame:
     """Every line as often as the joins give it (UNION ALL)."""
-    lines = named_lines(tables, filters.sub_ledger, each_name_once=False)
     met = encounters.select(*DOCUMENT, "invoice_no", "doctor", "department", "patient_type")
-    return revenue_totals(lines.join(met, DOCUMENT), F.col("amount"))
+    lines = with_names(
+        tables, bill_lines(tables).join(met, DOCUMENT), filters.sub_ledger, each_name_once=False
+    )
+    return revenue_totals(lines, F.col("amount"))
 
 
 def revenue_as_set(
@@ -237,10 +237,18 @@ def revenue_as_set(
     told_apart = (
         encounters.distinct().groupBy(*ENCOUNTER_GROUP).agg(F.count(F.lit(1)).alias("copies"))
     )
-    lines = named_lines(tables, filters.sub_ledger, each_name_once=True).select(
-        *DOCUMENT, *line_identity, "amount", "cl_name", "sub_ldgr_desc", "in_setup"
+    lines = with_names(
+        tables, bill_lines(tables).join(told_apart, DOCUMENT), filters.sub_ledger, each_name_once=True
     )
-    once = lines.join(told_apart, DOCUMENT).distinct()
+    once = lines.select(
+        *ENCOUNTER_GROUP,
+        "copies",
+        *line_identity,
+        "amount",
+        "cl_name",
+        "sub_ldgr_desc",
+        "in_setup",
+    ).distinct()
     return revenue_totals(once, F.col("amount") * F.col("copies").cast("decimal(9,0)"))
 
 

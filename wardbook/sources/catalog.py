@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wardbook.sources.schemas import OWNERS, SCHEMAS
 
@@ -31,11 +30,9 @@ def conform(frame: DataFrame, table: str, empty_as_null: bool = False) -> DataFr
     """
     projected = []
     for name, kind in declared_columns(table):
-        column = F.col(name).cast(kind)
-        if empty_as_null and kind == "string":
-            column = F.nullif(column, F.lit(""))
-        projected.append(column.alias(name))
-    return frame.select(*projected)
+        text = f"nullif(`{name}`, '')" if empty_as_null and kind == "string" else f"`{name}`"
+        projected.append(f"cast({text} as {kind}) as `{name}`")
+    return frame.selectExpr(*projected)
 
 
 class Tables:
