@@ -1,0 +1,255 @@
+"""Receivables and receipts on hand-written rows."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+
+from conftest import rows_of
+from wardbook.plans import receivables
+
+CLIENTS = [{"client_id": "c1", "name": "Payer"}]
+PATIENTS = [{"mrno": 7, "name": "Pat", "nic_new": "N7"}]
+
+
+def invoice(number, kind="I", net=100, received=None, **more):
+    return {
+        "final_invoice_no": number,
+        "client_invoice_no": 10,
+        "client_id": "c1",
+        "mrno": 7,
+        "process_id": 1,
+        "final_invoice_date": "2020-05-01",
+        "final_invoice_type": kind,
+        "net_receivable": net,
+        "received_amount": received,
+        **more,
+    }
+
+
+def books(invoices, **more):
+    return {"final_invoice_master": invoices, "client": CLIENTS, "v_patient": PATIENTS, **more}
+
+
+def test_open_invoices_hang_on_their_client_invoice(world):
+    def found(*invoices):
+        report = receivables.debtor_aging_open(world(**books(list(invoices))))
+        return [row[0] for row in rows_of(report, "final_invoice_no")]
+
+    parent = invoice(10, "R", net=500)
+    assert found(parent, invoice(1)) == [1]
+    assert found(parent, invoice(1, "X"), invoice(2, "O"), invoice(3, "H")) == [2, 3]
+    assert found(invoice(1)) == []
+    assert found(invoice(10, "R", net=500, received=500), invoice(1)) == []
+    assert found(invoice(10, "R", final_invoice_date="2016-01-01"), invoice(1)) == []
+    assert found(invoice(10, "R", final_invoice_date="2016-01-01T00:01"), invoice(1)) == [1]
+    assert found(parent, invoice(1, received=100), invoice(2, received=99)) == [2]
+    assert found(parent, invoice(1, client_id=None), invoice(2, mrno=None)) == []
+
+
+def test_negative_net_counts_by_its_size_but_sums_by_its_sign(world):
+    rows = [invoice(10, "R", net=500), invoice(1, net=-80)]
+    tables = world(**books(rows))
+    report = receivables.debtor_aging_open(tables)
+    assert rows_of(report, "remaining") == [(Decimal("-80.00"),)]
+    assert rows_of(receivables.kpi_total_receivable(tables)) == [(Decimal("-80.00"),)]
+
+
+def test_repeated_client_invoices_do_not_repeat_the_row(world):
+    parents = [invoice(10, "R", net=500), invoice(10, "R", net=600)]
+    assert receivables.debtor_aging_open(world(**books([*parents, invoice(1)]))).count() == 1
+
+
+def detail(**more):
+    return {
+        "process_id": 1,
+        "client_id": "c1",
+        "final_invoice_no": 10,
+        "mrno": 7,
+        "admission_no": None,
+        "ref_letter_no": None,
+        **more,
+    }
+
+
+def test_stay_details_take_first_letter_last_admission_and_its_date(world):
+    details = [
+        detail(ref_letter_no=1),
+        detail(ref_letter_no=2, admission_no=70),
+        detail(ref_letter_no=9),
+        detail(admission_no=72),
+        detail(process_id=2, admission_no=99, ref_letter_no=3),
+        detail(mrno=8, admission_no=98),
+    ]
+    letters = [
+        {"ref_letter_no": 1, "client_ref_no": "B"},
+        {"ref_letter_no": 2, "client_ref_no": "C"},
+        {"ref_letter_no": 2, "client_ref_no": "A"},
+        {"ref_letter_no": 3, "client_ref_no": "0"},
+    ]
+    stays = [
+        invoice(201, "X", admission_no=70, admission_date="2020-03-01"),
+        invoice(202, "X", admission_no=70, admission_date="2020-04-01"),
+        invoice(203, "X", admission_no=72, admission_date="2020-09-01", mrno=8),
+    ]
+    tables = world(
+        **books(
+            [invoice(10, "R", net=500), invoice(1), *stays],
+            pbs_tran_detail_corporate=details,
+            ref_letter_master=letters,
+        )
+    )
+    report = receivables.debtor_aging_open(tables)
+    found = rows_of(report, "ref_letter_no", "admission_no", "admission_date")
+    assert [(letter, stay, str(when)) for letter, stay, when in found] == [
+        ("A", 72, "2020-04-01 00:00:00")
+    ]
+
+
+def test_an_invoice_without_details_keeps_null_lookups(world):
+    report = receivables.debtor_aging_open(world(**books([invoice(10, "R", net=500), invoice(1)])))
+    assert rows_of(report, "ref_letter_no", "admission_no", "admission_date") == [
+        (None, None, None)
+    ]
+
+
+@pytest.mark.parametrize(
+    ("left", "settled"),
+    [("0", True), ("0.49", True), ("0.50", False), ("-0.50", False), ("-0.49", True), ("1", False)],
+)
+def test_settled_rounds_halves_away_from_zero(world, left, settled):
+    rows = [invoice(1, net=Decimal(100) + Decimal(left), received=100)]
+    tables = world(**books(rows, pbs_tran_detail_corporate=[detail(), detail()]))
+    assert receivables.debtor_aging_settled(tables).count() == int(settled)
+
+
+def test_settled_needs_the_process_and_client_together(world):
+    rows = [invoice(1, net=100, received=100)]
+    apart = [detail(process_id=2), detail(client_id="c9")]
+    tables = world(**books(rows, pbs_tran_detail_corporate=apart))
+    assert receivables.debtor_aging_settled(tables).count() == 0
+
+
+def receipt(number, **more):
+    return {
+        "receive_no": number,
+        "client_id": "c1",
+        "received_by": 3,
+        "receive_date": "2024-01-05",
+        "total_amount": 100,
+        **more,
+    }
+
+
+def payment(number, **more):
+    return {"receive_no": number, "payment_mode_id": "m", "instrument_no": 1, "amount": 100, **more}
+
+
+def till(**more):
+    return {
+        "client": CLIENTS,
+        "vu_information": [{"mrno": 3, "name": "Cashier"}],
+        "payment_mode": [{"payment_mode_id": "m", "description": "CASH"}],
+        "cash_receive_master": [receipt(1), receipt(2)],
+        "cash_receive_detail": [payment(1, wht_tax=5), payment(2)],
+        **more,
+    }
+
+
+def test_refunds_take_receipts_out_unless_they_name_no_client(world):
+    def found(*refunds):
+        tables = world(**till(cash_refund_master=list(refunds)))
+        report = receivables.client_receipts(tables, "2024-01-01", "2024-02-01")
+        return [row[0] for row in rows_of(report, "receive_no")]
+
+    assert found() == [1, 2]
+    assert found({"receipt_no": 1, "client_id": "c1"}) == [2]
+    assert found({"receipt_no": 1, "client_id": None}) == [1, 2]
+    assert found({"receipt_no": None, "client_id": "c1"}) == []
+    assert found({"receipt_no": None, "client_id": None}) == [1, 2]
+
+
+def test_gross_adds_known_tax_and_sums_to_the_figure(world):
+    tables = world(**till())
+    report = receivables.client_receipts(tables, "2024-01-01", "2024-02-01")
+    assert rows_of(report, "gross_amount") == [(Decimal("100.00"),), (Decimal("105.00"),)]
+    figure = receivables.kpi_client_receipts(tables, "2024-01-31")
+    assert rows_of(figure) == [(Decimal("205.00"),)]
+
+
+def test_figures_over_nothing_are_zero(world):
+    tables = world()
+    assert rows_of(receivables.kpi_client_receipts(tables, "2024-01-31")) == [(Decimal("0.00"),)]
+    assert rows_of(receivables.kpi_total_receivable(tables)) == [(Decimal("0.00"),)]
+    assert rows_of(receivables.kpi_debtor_billing(tables, "2024-01-31")) == [(Decimal("0.00"),)]
+
+
+def test_unadjusted_tests_each_line_before_summing(world):
+    lines = [
+        payment(1, amount=30),
+        payment(1, amount=51),
+        payment(1, amount=60, instrument_no=2),
+        payment(2, amount=100, received_amount=50),
+    ]
+    report = receivables.client_unadjusted_receipts(world(**till(cash_receive_detail=lines)))
+    assert rows_of(report, "receive_no", "instrument_no", "amount") == [
+        (1, 1, Decimal("51.00")),
+        (1, 2, Decimal("60.00")),
+    ]
+
+
+@pytest.mark.parametrize("name", ["Staff Fund", "nephro unit", "xHAMDx", None])
+def test_unadjusted_leaves_named_clients_out(world, name):
+    tables = world(**till(client=[{"client_id": "c1", "name": name}]))
+    assert receivables.client_unadjusted_receipts(tables).count() == 0
+    assert receivables.client_unadjusted_receipts(tables, excluded=()).count() == (
+        0 if name is None else 2
+    )
+
+
+def test_adjustments_look_names_up_and_keep_unknown_ones(world):
+    adjusted = {
+        "final_receipt_no": 5,
+        "mrno": 8,
+        "invoice_amount": 100,
+        "received_amount": None,
+        "chk_option": "Y",
+    }
+    tables = world(
+        franchise_cheque=[{"final_receipt_no": 5, "receive_no": 1}],
+        final_receipt_detail2=[adjusted, {**adjusted, "chk_option": "N"}, {**adjusted, "mrno": 7}],
+        cash_receive_master=[receipt(1)],
+        client=CLIENTS * 2,
+        v_patient=PATIENTS,
+    )
+    report = receivables.client_receipt_adjustment(tables)
+    assert rows_of(report, "client_name", "patient_name", "remaining_amount") == [
+        ("Payer", None, Decimal("100.00")),
+        ("Payer", "Pat", Decimal("100.00")),
+    ]
+    assert len(report.columns) == 14
+
+
+def test_letter_amounts_follow_the_letter_to_its_patient_and_skip_unknown_amounts(world):
+    def entry(dr, cr, letter=1):
+        return {
+            "client_id": receivables.LETTER_CLIENT,
+            "coa_code": receivables.LETTER_ACCOUNT,
+            "mrno": 99,
+            "trans_no": 1,
+            "admission_no": 1,
+            "ref_letter_no": letter,
+            "dr_amount": dr,
+            "cr_amount": cr,
+        }
+
+    entries = [entry(100, 30), entry(50, None), entry(10, 0, letter=None), entry(1, 0, letter=8)]
+    tables = world(
+        pbs_tran_detail=entries,
+        ref_letter_master=[{"ref_letter_no": 1, "client_ref_no": "A", "mrno": 7}],
+        v_patient=PATIENTS,
+        client=[{"client_id": receivables.LETTER_CLIENT, "name": "Social"}],
+    )
+    report = receivables.referral_letter_amounts(tables)
+    assert rows_of(report, "mrno", "name", "amount") == [(99, "Pat", Decimal("70.00"))]
