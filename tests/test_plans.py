@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from conftest import rows_of
+from conftest import settings
 from wardbook.operators.billing import EMERGENCY
 from wardbook.plans import ledger, revenue
 from wardbook.plans.registry import REPORTS
@@ -21,22 +20,6 @@ def plan_of(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@contextlib.contextmanager
-def settings(spark, **pairs):
-    names = {name.replace("__", "."): value for name, value in pairs.items()}
-    before = {name: spark.conf.get(name, None) for name in names}
-    for name, value in names.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
-
 @pytest.fixture
 def no_broadcast(spark):
     with settings(

@@ -7,7 +7,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from conftest import rows_of, settings
+from wardbook.functions.joins import join_reduced
 from wardbook.functions.columns import in_order, look_up
 from wardbook.functions.moments import (
     from_through,
@@ -19,7 +20,7 @@ from wardbook.functions.moments import (
 from wardbook.functions.predicates import matches_if_given, not_in
 
 
-@pytest.mark.parametrize("listed", ["", "(2)", "(2),(2)", "(2),(null)", "(null)", "(9)"])
+@pytest.mark.parametrize("listed", ["", "(2)", "(2),(2)", "(2),(null)", "(cast(null as int))", "(9)"])
 def test_not_in_equals_sql(spark, listed):
     keys = spark.sql("select * from values (1),(2),(2),(3),(null) as k(key)")
     listing = spark.sql(
@@ -114,3 +115,32 @@ def test_lookup_never_doubles_rows(spark):
     names = spark.sql("select * from values (1,'b'),(1,'a'),(2,'c'),(null,'n') as n(key,name)")
     found = look_up(rows, "key", names, "label")
     assert rows_of(found) == [(1, "a"), (1, "a"), (3, None), (None, None)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_with_a_reduced_side_equals_the_plain_join(spark, how):
+    rows = spark.sql("select * from values (1,'a'),(1,'a'),(2,'b'),(3,null),(null,'c') as r(k,t)")
+    reduced = spark.sql("select * from values (1,'x'),(2,'y'),(null,'z') as d(k,v)")
+    plain = rows.join(reduced, "k", how)
+    assert rows_of(join_reduced(rows, reduced, ["k"], how)) == rows_of(plain)
+    with pytest.raises(TypeError, match="k"):
+        join_reduced(rows, reduced.withColumn("k", F.col("k").cast("bigint")), ["k"], how)
+
+
+def test_a_hot_key_is_split_although_the_other_side_is_grouped(spark):
+    rows = spark.range(0, 60_000, 1, 8).selectExpr("if(id % 3 = 0, 0, id) as k", "sha2(string(id), 256) as t")
+    names = spark.range(0, 60_000, 1, 8).selectExpr("id as n", "concat('name', id) as name")
+    found = look_up(rows, "k", names, "label")
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__shuffle__partitions="8",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="40KB",
+    ):
+        labels = [row.label for row in found.collect()]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(labels) == 60_000 and labels.count("name0") == 20_000
+    assert "skew=true" in plan

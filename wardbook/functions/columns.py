@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.joins import join_reduced
+
 
 def or_zero(column: str) -> Column:
     """The column with NULL read as zero."""
@@ -38,5 +40,5 @@ def look_up(rows: DataFrame, key: str, names: DataFrame, name: str) -> DataFrame
     labels the first in text order is taken, so no row is ever doubled.
     """
     names_key, label = names.columns
-    single = names.groupBy(F.col(names_key).alias("__key")).agg(F.min(label).alias(name))
-    return rows.join(single, F.col(key) == F.col("__key"), "left").drop("__key")
+    single = names.groupBy(F.col(names_key).alias(key)).agg(F.min(label).alias(name))
+    return join_reduced(rows, single, [key], "left")

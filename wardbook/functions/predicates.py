@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.joins import join_reduced
+
 
 def like_pattern(text: str) -> str:
     """A pattern whose only wildcards are ``%`` and ``_``; a backslash stands for itself."""
@@ -31,13 +33,10 @@ def not_in(rows: DataFrame, key: str, listing: DataFrame) -> DataFrame:
     is read as a scalar subquery.
     """
     (item,) = listing.columns
-    listed = listing.select(F.col(item).alias("__listed"))
-    kept = rows.join(
-        listed.where(F.col("__listed").isNotNull()).distinct(),
-        F.col(key) == F.col("__listed"),
-        "left_anti",
-    )
-    entries, known = F.count(F.lit(1)), F.count("__listed")
+    listed = listing.select(F.col(item).alias(key))
+    known_keys = listed.where(F.col(key).isNotNull()).distinct()
+    kept = join_reduced(rows, known_keys, [key], "left_anti")
+    entries, known = F.count(F.lit(1)), F.count(key)
     verdict = listed.agg(
         F.when(entries == 0, "all").when(entries > known, "none").otherwise("known keys").alias("v")
     ).scalar()

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.joins import join_reduced
 from wardbook.functions.moments import Moment, from_until, last_days
 from wardbook.functions.predicates import matches_if_given
 from wardbook.sources.catalog import Tables
@@ -148,7 +149,9 @@ def admitted_encounters(
         .select("admission_no")
         .distinct()
     )
-    admissions = tables.order_patient_admission.join(finalised, "admission_no", "left_semi").select(
+    admissions = join_reduced(
+        tables.order_patient_admission, finalised, ["admission_no"], "left_semi"
+    ).select(
         *STAY,
         *ORDER,
         "doctor_id",
@@ -270,8 +273,8 @@ def recent_stay_documents(tables: Tables, as_of: Moment | None) -> DataFrame:
         .groupBy("admission_no")
         .agg(F.count(F.lit(1)).alias("finals"))
     )
-    admissions = tables.order_patient_admission.select(*STAY, *ORDER, "doctor_id").join(
-        finals, "admission_no"
+    admissions = join_reduced(
+        tables.order_patient_admission.select(*STAY, *ORDER, "doctor_id"), finals, ["admission_no"]
     )
     at = located_documents(tables, F.col("order_location").isNotNull())
     emergency = F.col("order_location") == EMERGENCY

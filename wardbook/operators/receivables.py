@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.columns import or_zero
+from wardbook.functions.joins import join_reduced
 from wardbook.functions.moments import Moment, literal, parse_moment
 from wardbook.sources.catalog import Tables
 
@@ -41,7 +42,7 @@ def open_invoices(tables: Tables, cutoff: Moment) -> DataFrame:
         "admission_no", "admission_date"
     )
     return addressed_invoices(
-        tables, invoices.join(client_invoices, "client_invoice_no", "left_semi")
+        tables, join_reduced(invoices, client_invoices, ["client_invoice_no"], "left_semi")
     )
 
 
@@ -57,7 +58,7 @@ def settled_invoices(tables: Tables) -> DataFrame:
     invoices = tables.final_invoice_master.where(F.abs(F.round(left)) == 0).drop(
         "admission_no", "admission_date"
     )
-    return addressed_invoices(tables, invoices.join(pairs, process, "left_semi"))
+    return addressed_invoices(tables, join_reduced(invoices, pairs, process, "left_semi"))
 
 
 def with_stay_details(tables: Tables, invoices: DataFrame) -> DataFrame:
@@ -73,15 +74,14 @@ def with_stay_details(tables: Tables, invoices: DataFrame) -> DataFrame:
     admitted = tables.final_invoice_master.groupBy("admission_no", "mrno").agg(
         F.max("admission_date").alias("admission_date")
     )
-    details = (
-        tables.pbs_tran_detail_corporate.withColumnRenamed("final_invoice_no", "client_invoice_no")
-        .join(letters, "ref_letter_no", "left")
-        .join(admitted, ["admission_no", "mrno"], "left")
-        .groupBy(*INVOICE)
-        .agg(
-            F.min("client_ref_no").alias("ref_letter_no"),
-            F.max("admission_no").alias("admission_no"),
-            F.max("admission_date").alias("admission_date"),
-        )
+    details = tables.pbs_tran_detail_corporate.withColumnRenamed(
+        "final_invoice_no", "client_invoice_no"
     )
-    return invoices.join(details, INVOICE, "left")
+    details = join_reduced(details, letters, ["ref_letter_no"], "left")
+    details = join_reduced(details, admitted, ["admission_no", "mrno"], "left")
+    per_invoice = details.groupBy(*INVOICE).agg(
+        F.min("client_ref_no").alias("ref_letter_no"),
+        F.max("admission_no").alias("admission_no"),
+        F.max("admission_date").alias("admission_date"),
+    )
+    return join_reduced(invoices, per_invoice, INVOICE, "left")
