@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from conftest import settings
+from conftest import rows_of, settings
 from wardbook.operators.billing import EMERGENCY
 from wardbook.plans import ledger, revenue
 from wardbook.plans.registry import REPORTS
 from wardbook.sources.catalog import Tables
+from wardbook.sources.fixtures import fixture_tables
 from wardbook.sources.schemas import SCHEMAS
 
 
@@ -88,6 +89,28 @@ def test_dashboard_reads_the_lines_once(tables, long_plans):
         assert len(re.findall(rf"FileScan[^\n]*/{name}\]", plan)) == 1
 
 
+def test_number_ranges_reach_the_line_scans_when_asked(tables, long_plans):
+    try:
+        tables.numbers_follow_time = True
+        plan = plan_of(revenue.outpatient_revenue(tables, "2024-01-01", "2024-02-01"))
+    finally:
+        tables.numbers_follow_time = False
+    for lines, number in (
+        ("invoice_master_bill_dist", "invoice_no"),
+        ("return_master_bill_dist", "return_no"),
+    ):
+        (scan,) = (line for line in plan.splitlines() if f"/{lines}]" in line)
+        assert re.search(rf"DataFilters: \[[^]]*{number}#\d+L >= [^]]*[Ss]ubquery", scan)
+
+
+@pytest.mark.parametrize("key", ["inpatient_revenue", "outpatient_revenue", "revenue_dashboard"])
+def test_number_ranges_change_no_result(spark, small_dir, key):
+    built = fixture_tables(spark, small_dir)
+    plain = rows_of(REPORTS[key](built, **entry_module.PARAMETERS[key]))
+    built.numbers_follow_time = True
+    assert rows_of(REPORTS[key](built, **entry_module.PARAMETERS[key])) == plain
+
+
 def hot_hospital(spark, lines: int) -> Tables:
     """Thousands of invoices of which one has a third of all lines, and one patient a third of stays."""
     documents = 3000

@@ -31,3 +31,16 @@ def join_reduced(
         .join(reduced.withColumn(_APART, apart), [*keys, _APART], how)
         .drop(_APART)
     )
+
+
+def within_range_of(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
+    """Drop rows whose key lies outside the smallest and largest key of ``others``.
+
+    Meant for rows that are about to be joined to ``others`` on that key, where
+    it changes nothing but the number of rows read and shuffled.  The bounds
+    are one row, read as a scalar subquery before the scan starts.
+    """
+    bounds = others.agg(
+        F.struct(F.min(other_key).alias("low"), F.max(other_key).alias("high"))
+    ).scalar()
+    return rows.where(F.col(key).between(bounds["low"], bounds["high"]))

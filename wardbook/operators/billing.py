@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.functions.joins import join_reduced
+from wardbook.functions.joins import join_reduced, within_range_of
 from wardbook.functions.moments import Moment, from_until, last_days
 from wardbook.functions.predicates import matches_if_given
 from wardbook.sources.catalog import Tables
@@ -37,6 +37,19 @@ ORDER = ["order_type_id", "order_no", "location_id", "order_location_id"]
 PLACE = ["location_id", "order_location_id"]
 
 
+@dataclass(frozen=True)
+class Encounters:
+    """Documents of a report: ``met`` after all joins, ``candidates`` a superset from headers alone."""
+
+    candidates: DataFrame
+    met: DataFrame
+
+    def union(self, other: Encounters) -> Encounters:
+        return Encounters(
+            self.candidates.unionByName(other.candidates), self.met.unionByName(other.met)
+        )
+
+
 @dataclass(frozen=True)
 class Filters:
     """Optional text filters of the revenue reports; unset ones still drop NULLs."""
@@ -67,7 +80,7 @@ def documents(tables: Tables) -> DataFrame:
     return invoices.unionByName(returns)
 
 
-def bill_lines(tables: Tables) -> DataFrame:
+def bill_lines(tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Invoice lines, and return lines with the amount negated."""
     shared = ["serial_no", "contract_id", "item_id", "client_id", "income_id", "department_id"]
     billed = tables.invoice_master_bill_dist.select(
@@ -84,7 +97,29 @@ def bill_lines(tables: Tables) -> DataFrame:
         (-F.col("qty")).cast("decimal(18,2)").alias("qty"),
         (-F.col("amount")).cast("decimal(18,2)").alias("amount"),
     )
-    return billed.unionByName(returned)
+    return billed, returned
+
+
+def near(tables: Tables, rows: DataFrame, key: str, others: DataFrame) -> DataFrame:
+    """Rows with a key, cut to the number range of ``others`` where numbers follow time.
+
+    Then the documents of a date window lie close together, and the scan skips
+    the files and row groups of other times instead of shuffling all of them.
+    """
+    if tables.numbers_follow_time:
+        return within_range_of(rows, key, others, key)
+    return rows.where(F.col(key).isNotNull())
+
+
+def lines_of(tables: Tables, candidates: DataFrame, met: DataFrame) -> DataFrame:
+    """Bill lines with the columns of the document they belong to."""
+    billed, returned = bill_lines(tables)
+    invoices = candidates.where(~F.col("is_return"))
+    returns = candidates.where(F.col("is_return"))
+    lines = near(tables, billed, "doc_no", invoices).unionByName(
+        near(tables, returned, "doc_no", returns)
+    )
+    return lines.join(met, DOCUMENT)
 
 
 def doctors(tables: Tables) -> DataFrame:
@@ -131,27 +166,24 @@ def stays(tables: Tables, admissions: DataFrame, filters: Filters | None) -> Dat
     )
 
 
-def located_documents(tables: Tables, location: Column) -> DataFrame:
-    """Documents of admitted patients with the description of their order location."""
+def located(tables: Tables, admitted: DataFrame, location: Column) -> DataFrame:
+    """Documents with the description of their order location."""
     places = tables.order_location.select(
         *PLACE, F.col("description").alias("order_location")
     ).where(location)
-    return documents(tables).where(F.col("admission_no").isNotNull()).join(places, PLACE)
+    return admitted.join(places, PLACE).drop(*ORDER)
 
 
 def admitted_encounters(
     tables: Tables, start: Moment, end: Moment, filters: Filters, emergency: bool
-) -> DataFrame:
+) -> Encounters:
     """Documents of stays that got a final invoice in the window, by care setting."""
     described = F.upper(F.col("order_location"))
-    finalised = (
-        tables.final_invoice_master.where(from_until(F.col("final_invoice_date"), start, end))
-        .select("admission_no")
-        .distinct()
-    )
-    admissions = join_reduced(
-        tables.order_patient_admission, finalised, ["admission_no"], "left_semi"
-    ).select(
+    finals = tables.final_invoice_master.where(
+        from_until(F.col("final_invoice_date"), start, end)
+    ).select("admission_no")
+    admitted = near(tables, tables.order_patient_admission, "admission_no", finals)
+    admissions = join_reduced(admitted, finals.distinct(), ["admission_no"], "left_semi").select(
         *STAY,
         *ORDER,
         "doctor_id",
@@ -159,23 +191,25 @@ def admitted_encounters(
         "discharge_date",
         "order_admission_type",
     )
-    at = located_documents(tables, described == EMERGENCY if emergency else described != EMERGENCY)
-    return at.drop(*ORDER).join(stays(tables, admissions, filters), STAY)
+    candidates = near(tables, documents(tables), "admission_no", finals)
+    at = located(tables, candidates, described == EMERGENCY if emergency else described != EMERGENCY)
+    return Encounters(candidates, at.join(stays(tables, admissions, filters), STAY))
 
 
 def outpatient_encounters(
     tables: Tables, start: Moment, end: Moment, filters: Filters
-) -> DataFrame:
+) -> Encounters:
     """Documents without an admission, dated in the window, by referring doctor."""
     orders = typed_orders(tables, matches_if_given(F.col("patient_type"), filters.patient_type))
     referring = doctors(tables).where(
         matches_if_given(F.col("doctor"), filters.name)
         & matches_if_given(F.col("department"), filters.department)
     )
-    return (
-        documents(tables)
-        .where(F.col("admission_no").isNull() & from_until(F.col("doc_date"), start, end))
-        .join(orders, ORDER)
+    candidates = documents(tables).where(
+        F.col("admission_no").isNull() & from_until(F.col("doc_date"), start, end)
+    )
+    met = (
+        candidates.join(orders, ORDER)
         .join(referring, F.col("reffering_inhouse_doctor_id") == F.col("__doctor"))
         .join(patients(tables), "mrno")
         .select(
@@ -189,6 +223,7 @@ def outpatient_encounters(
             "patient_type",
         )
     )
+    return Encounters(candidates, met)
 
 
 REVENUE_GROUP = ["doctor", "department", "sub_ldgr_desc", "patient_type", "cl_name", "in_setup"]
@@ -216,17 +251,16 @@ def with_names(
     return lines.join(heads, "income_id").join(clients, "client_id").join(ledgers, "department_id")
 
 
-def revenue_as_bag(tables: Tables, encounters: DataFrame, filters: Filters) -> DataFrame:
+def revenue_as_bag(tables: Tables, encounters: Encounters, filters: Filters) -> DataFrame:
     """Every line as often as the joins give it (UNION ALL)."""
-    met = encounters.select(*DOCUMENT, "invoice_no", "doctor", "department", "patient_type")
-    lines = with_names(
-        tables, bill_lines(tables).join(met, DOCUMENT), filters.sub_ledger, each_name_once=False
-    )
-    return revenue_totals(lines, F.col("amount"))
+    met = encounters.met.select(*DOCUMENT, "invoice_no", "doctor", "department", "patient_type")
+    lines = lines_of(tables, encounters.candidates, met)
+    named = with_names(tables, lines, filters.sub_ledger, each_name_once=False)
+    return revenue_totals(named, F.col("amount"))
 
 
 def revenue_as_set(
-    tables: Tables, encounters: DataFrame, filters: Filters, line_identity: list[str]
+    tables: Tables, encounters: Encounters, filters: Filters, line_identity: list[str]
 ) -> DataFrame:
     """Every distinct line once (UNION).
 
@@ -238,12 +272,11 @@ def revenue_as_set(
     stay out of the line-level comparison.
     """
     told_apart = (
-        encounters.distinct().groupBy(*ENCOUNTER_GROUP).agg(F.count(F.lit(1)).alias("copies"))
+        encounters.met.distinct().groupBy(*ENCOUNTER_GROUP).agg(F.count(F.lit(1)).alias("copies"))
     )
-    lines = with_names(
-        tables, bill_lines(tables).join(told_apart, DOCUMENT), filters.sub_ledger, each_name_once=True
-    )
-    once = lines.select(
+    lines = lines_of(tables, encounters.candidates, told_apart)
+    named = with_names(tables, lines, filters.sub_ledger, each_name_once=True)
+    once = named.select(
         *ENCOUNTER_GROUP,
         "copies",
         *line_identity,
@@ -262,24 +295,24 @@ def revenue_totals(lines: DataFrame, amount: Column) -> DataFrame:
     )
 
 
-def recent_stay_documents(tables: Tables, as_of: Moment | None) -> DataFrame:
+def recent_stays(tables: Tables, as_of: Moment | None) -> Encounters:
     """Dashboard side of inpatient and emergency: (document, stream, copies).
 
     Inpatient lines repeat for every recent final invoice of the stay,
     emergency lines count once however many there are.
     """
-    finals = (
-        tables.final_invoice_master.where(last_days(F.col("final_invoice_date"), as_of))
-        .groupBy("admission_no")
-        .agg(F.count(F.lit(1)).alias("finals"))
-    )
+    finals = tables.final_invoice_master.where(
+        last_days(F.col("final_invoice_date"), as_of)
+    ).select("admission_no")
+    counted = finals.groupBy("admission_no").agg(F.count(F.lit(1)).alias("finals"))
+    admitted = near(tables, tables.order_patient_admission, "admission_no", finals)
     admissions = join_reduced(
-        tables.order_patient_admission.select(*STAY, *ORDER, "doctor_id"), finals, ["admission_no"]
+        admitted.select(*STAY, *ORDER, "doctor_id"), counted, ["admission_no"]
     )
-    at = located_documents(tables, F.col("order_location").isNotNull())
+    candidates = near(tables, documents(tables), "admission_no", finals)
     emergency = F.col("order_location") == EMERGENCY
-    return (
-        at.drop(*ORDER)
+    met = (
+        located(tables, candidates, F.col("order_location").isNotNull())
         .join(stays(tables, admissions, None), STAY)
         .select(
             *DOCUMENT,
@@ -287,14 +320,16 @@ def recent_stay_documents(tables: Tables, as_of: Moment | None) -> DataFrame:
             F.when(emergency, F.lit(1)).otherwise(F.col("finals")).alias("copies"),
         )
     )
+    return Encounters(candidates, met)
 
 
-def recent_outpatient_documents(tables: Tables, as_of: Moment | None) -> DataFrame:
+def recent_outpatients(tables: Tables, as_of: Moment | None) -> Encounters:
     """Dashboard side of outpatient; a document without a referring doctor stays in."""
-    return (
-        documents(tables)
-        .where(F.col("admission_no").isNull() & last_days(F.col("doc_date"), as_of))
-        .join(typed_orders(tables, F.lit(True)), ORDER)
+    candidates = documents(tables).where(
+        F.col("admission_no").isNull() & last_days(F.col("doc_date"), as_of)
+    )
+    met = (
+        candidates.join(typed_orders(tables, F.lit(True)), ORDER)
         .join(
             doctors(tables),
             F.col("reffering_inhouse_doctor_id") == F.col("__doctor"),
@@ -307,17 +342,17 @@ def recent_outpatient_documents(tables: Tables, as_of: Moment | None) -> DataFra
             F.lit(1).cast("bigint").alias("copies"),
         )
     )
+    return Encounters(candidates, met)
 
 
-def revenue_by_head(tables: Tables, recent: DataFrame) -> DataFrame:
+def revenue_by_head(tables: Tables, recent: Encounters) -> DataFrame:
     """(stream, in_setup, amount) of the recent documents.
 
     Lines are summed per key before the names are joined on, so the joins that
     keep unknown clients and departments see a few thousand rows, not the lines.
     """
     summed = (
-        bill_lines(tables)
-        .join(recent, DOCUMENT)
+        lines_of(tables, recent.candidates, recent.met)
         .groupBy("stream", "income_id", "client_id", "department_id")
         .agg(F.sum(F.col("amount") * F.col("copies").cast("decimal(9,0)")).alias("amount"))
     )

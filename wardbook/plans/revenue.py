@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardbook.functions.columns import in_order
 from wardbook.functions.moments import Moment
 from wardbook.operators import billing
-from wardbook.operators.billing import Filters
+from wardbook.operators.billing import Encounters, Filters
 from wardbook.sources.catalog import Tables
 
 ADMITTED_LINE = ["serial_no", "contract_id", "item_id", "qty", "client_id", "department_id"]
@@ -75,26 +75,27 @@ def outpatient_revenue(
     return in_order(totals.withColumnRenamed("total", "total_amt"), "department")
 
 
-def _panel(tables: Tables, recent: DataFrame, stream: str) -> DataFrame:
-    heads = billing.revenue_by_head(tables, recent.where(F.col("stream") == stream))
+def _panel(tables: Tables, recent: Encounters, stream: str) -> DataFrame:
+    met = recent.met.where(F.col("stream") == stream)
+    heads = billing.revenue_by_head(tables, Encounters(recent.candidates, met))
     return in_order(heads.select("in_setup", "amount"), "in_setup")
 
 
 def panel_inpatient(tables: Tables, as_of: Moment | None = None) -> DataFrame:
     """Inpatient revenue by income head, final invoices of the last 30 days."""
-    recent = billing.recent_stay_documents(tables, as_of)
+    recent = billing.recent_stays(tables, as_of)
     return _panel(tables, recent, billing.INPATIENT_STREAM)
 
 
 def panel_emergency(tables: Tables, as_of: Moment | None = None) -> DataFrame:
     """Emergency revenue by income head, final invoices of the last 30 days."""
-    recent = billing.recent_stay_documents(tables, as_of)
+    recent = billing.recent_stays(tables, as_of)
     return _panel(tables, recent, billing.EMERGENCY_STREAM)
 
 
 def panel_outpatient(tables: Tables, as_of: Moment | None = None) -> DataFrame:
     """Outpatient revenue by income head, documents of the last 30 days."""
-    recent = billing.recent_outpatient_documents(tables, as_of)
+    recent = billing.recent_outpatients(tables, as_of)
     return _panel(tables, recent, billing.OUTPATIENT_STREAM).withColumnRenamed(
         "amount", "total_amt"
     )
@@ -102,7 +103,7 @@ def panel_outpatient(tables: Tables, as_of: Moment | None = None) -> DataFrame:
 
 def revenue_dashboard(tables: Tables, as_of: Moment | None = None) -> DataFrame:
     """The three panels in one frame and one pass over the lines."""
-    recent = billing.recent_stay_documents(tables, as_of).unionByName(
-        billing.recent_outpatient_documents(tables, as_of)
+    recent = billing.recent_stays(tables, as_of).union(
+        billing.recent_outpatients(tables, as_of)
     )
     return in_order(billing.revenue_by_head(tables, recent), "stream", "in_setup")
