@@ -29,14 +29,19 @@ def addressed_invoices(tables: Tables, invoices: DataFrame) -> DataFrame:
     )
 
 
-def open_invoices(tables: Tables, cutoff: Moment) -> DataFrame:
-    """Under-received invoices whose client invoice is itself under-received after the cutoff."""
-    finals = tables.final_invoice_master
-    client_invoices = finals.where(
+def unpaid_client_invoices(tables: Tables, cutoff: Moment) -> DataFrame:
+    """Numbers of the client invoices after the cutoff that are under-received."""
+    unpaid = tables.final_invoice_master.where(
         (or_zero("net_receivable") > or_zero("received_amount"))
         & F.col("final_invoice_type").isin(CLIENT_INVOICE_TYPES)
         & (F.col("final_invoice_date") > literal(parse_moment(cutoff, "cutoff")))
-    ).select(F.col("final_invoice_no").alias("client_invoice_no")).distinct()
+    )
+    return unpaid.select(F.col("final_invoice_no").alias("client_invoice_no")).distinct()
+
+
+def open_invoices(tables: Tables, client_invoices: DataFrame) -> DataFrame:
+    """Under-received invoices billed through one of the client invoices."""
+    finals = tables.final_invoice_master
     outstanding = F.coalesce(F.abs("net_receivable"), F.lit(0)) - or_zero("received_amount") > 0
     invoices = finals.where(outstanding & F.col("final_invoice_type").isin(OPEN_TYPES)).drop(
         "admission_no", "admission_date"
@@ -61,12 +66,15 @@ def settled_invoices(tables: Tables) -> DataFrame:
     return addressed_invoices(tables, join_reduced(invoices, pairs, process, "left_semi"))
 
 
-def with_stay_details(tables: Tables, invoices: DataFrame) -> DataFrame:
+def with_stay_details(
+    tables: Tables, invoices: DataFrame, client_invoices: DataFrame | None = None
+) -> DataFrame:
     """Add first reference letter, last admission and last admission date per invoice.
 
     The three values come from one aggregation of the corporate details.  The
     letters and admissions are reduced to one row per key beforehand; minima
-    and maxima are the same with or without repeats.
+    and maxima are the same with or without repeats.  Where all invoices are
+    billed through ``client_invoices``, other details are left out early.
     """
     letters = tables.ref_letter_master.groupBy("ref_letter_no").agg(
         F.min("client_ref_no").alias("client_ref_no")
@@ -77,6 +85,8 @@ def with_stay_details(tables: Tables, invoices: DataFrame) -> DataFrame:
     details = tables.pbs_tran_detail_corporate.withColumnRenamed(
         "final_invoice_no", "client_invoice_no"
     )
+    if client_invoices is not None:
+        details = join_reduced(details, client_invoices, ["client_invoice_no"], "left_semi")
     details = join_reduced(details, letters, ["ref_letter_no"], "left")
     details = join_reduced(details, admitted, ["admission_no", "mrno"], "left")
     per_invoice = details.groupBy(*INVOICE).agg(

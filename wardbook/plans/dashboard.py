@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.moments import Moment
@@ -46,7 +46,7 @@ def kpi_dashboard(
             F.col("consumption_qty").alias("quantity"), F.col("consumption_value").alias("value")
         )
     )
-    one_row = SparkSession.active().range(1)
+    one_row = consumed.sparkSession.range(1)
     return one_row.select(
         *(frame.scalar().alias(name) for name, frame in figures.items()),
         consumed.scalar().alias("consumed"),

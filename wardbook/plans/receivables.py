@@ -14,6 +14,7 @@ from wardbook.operators.receivables import (
     CLIENT_INVOICE_TYPES,
     open_invoices,
     settled_invoices,
+    unpaid_client_invoices,
     with_stay_details,
 )
 from wardbook.sources.catalog import Tables
@@ -105,7 +106,8 @@ def referral_letter_amounts(
 
 def debtor_aging_open(tables: Tables, cutoff: Moment = AGING_CUTOFF) -> DataFrame:
     """Open client invoices with letter and admission."""
-    rows = with_stay_details(tables, open_invoices(tables, cutoff)).select(
+    unpaid = unpaid_client_invoices(tables, cutoff)
+    rows = with_stay_details(tables, open_invoices(tables, unpaid), unpaid).select(
         "client_id",
         "client_name",
         "process_id",
@@ -223,7 +225,8 @@ def card_receipts(
 def kpi_total_receivable(tables: Tables, cutoff: Moment = AGING_CUTOFF) -> DataFrame:
     """Sum remaining on all open client invoices."""
     total = F.coalesce(F.sum("remaining"), F.lit(0))
-    return open_invoices(tables, cutoff).agg(money(total, "total_receivable"))
+    unpaid = unpaid_client_invoices(tables, cutoff)
+    return open_invoices(tables, unpaid).agg(money(total, "total_receivable"))
 
 
 def kpi_client_receipts(tables: Tables, as_of: Moment | None = None) -> DataFrame:
