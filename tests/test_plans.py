@@ -83,6 +83,30 @@ def test_set_revenue_compares_lines_without_another_shuffle(tables, no_broadcast
     assert len(by_document) == 2
 
 
+@pytest.mark.parametrize(
+    ("key", "join_key"),
+    [
+        ("client_receipts", "receive_no"),
+        ("client_unadjusted_receipts", "receive_no"),
+        ("card_receipts", "receive_no"),
+        ("pharmacy_transfers", "trans_no"),
+        ("general_ledger", "voucher_no"),
+    ],
+)
+def test_lines_meet_their_header_straight_out_of_a_shuffle(key, join_key, tables, no_broadcast):
+    """Only then can adaptive execution split one receipt, transfer or voucher with very many lines."""
+    plan = plan_of(REPORTS[key](tables, **entry_module.PARAMETERS.get(key, {}))).splitlines()
+    for number, line in enumerate(plan):
+        if re.search(rf"SortMergeJoin \[[^]]*\b{join_key}#\d+L\], \[", line):
+            depth = line.index("SortMergeJoin")
+            below = [text for text in plan[number + 1 :] if len(text) > depth]
+            left = below[0:2]
+            assert "Sort [" in left[0] and "Exchange hashpartitioning" in left[1]
+            break
+    else:
+        pytest.fail("no join on the header's number")
+
+
 def test_dashboard_reads_the_lines_once(tables, long_plans):
     plan = plan_of(revenue.revenue_dashboard(tables, "2024-01-31"))
     for name in ("invoice_master_bill_dist", "return_master_bill_dist"):
