@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from wardbook.llm import exact, simhash
+from wardbook.llm import encoding, exact, packing, simhash, vectors
 
 QUERIES = {
+    "op1_near_vectors": vectors.op1_near_vectors,
+    "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact.op3_exact_dedup,
     "op4_simhash": simhash.op4_simhash,
+    "op7_byte_bpe": encoding.op7_byte_bpe,
 }
 
 ORACLE_SQL = {"op3_exact_dedup": exact.SQL}
