@@ -1,18 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all documents that the
+stages before it kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardbook.llm.exact import exact_duplicates
+from wardbook.llm import toxicity
+from wardbook.llm.exact import without_duplicates
+from wardbook.llm.packing import pack
+from wardbook.llm.passages import without_passages
+from wardbook.llm.simhash import without_near_duplicates
 from wardbook.llm.support import table, written
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below one half; labels come from the table ``labels``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs).filter("predicted = 0").select("row.*")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return without_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link the one with the smallest id."""
+    return without_near_duplicates(docs)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages that start in an earlier document as well."""
+    return without_passages(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 1024 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_passages),
+    ("packing", pack_sequences),
+]
 
 ORACLE_SQL = None
+"""Trees learned from labels decide the first stage, which SQL cannot express."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``; each stage's result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))

@@ -122,6 +122,27 @@ def exact_duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS, hash_bits:
     )
 
 
+def without_duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
+
+    Rows without a ``doc_id`` cannot be told apart and stay. Of rows that repeat
+    both ``doc_id`` and text one stays.
+    """
+    found = written(exact_duplicates(docs, bucket_keys).filter("doc_id is not null"))
+    key = ["doc_id", "text_sha256"]
+    drop = written(found.filter("not kept").select(key).distinct())
+    marked = docs.select(
+        F.struct(*docs.columns).alias("row"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    )
+    rows = keyed(marked, drop, "left_anti")
+    repeated = written(found.filter("kept").groupBy(key).count().filter("count > 1").select(key))
+    count = repeated.count()
+    if count:
+        again = keyed(rows, repeated, "left_semi", count).dropDuplicates(key)
+        rows = keyed(rows, repeated, "left_anti", count).unionByName(again)
+    return rows.select("row.*")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

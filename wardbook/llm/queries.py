@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from wardbook.llm import encoding, exact, language, licences, packing, simhash, toxicity, vectors
+from wardbook.llm import encoding, exact, language, licences, packing, passages, simhash, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_near_vectors": vectors.op1_near_vectors,
     "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact.op3_exact_dedup,
     "op4_simhash": simhash.op4_simhash,
+    "op5_suffix_dedup": substrings.op5_suffix_dedup,
     "op6_licences": licences.op6_licences,
     "op7_byte_bpe": encoding.op7_byte_bpe,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": language.op9_language,
+    "op10_passages": passages.op10_passages,
 }
 
 ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op6_licences": licences.SQL}

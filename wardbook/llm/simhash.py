@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.llm.components import components
-from wardbook.llm.support import table, written
+from wardbook.llm.support import keyed, table, written
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -144,5 +144,15 @@ def simhash_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
 
 
+def without_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each group of ``simhash_groups``, the one with the smallest ``doc_id``, with all its columns.
+
+    Rows without a ``doc_id`` stay, as they cannot be told apart. Rows that share one stay or go together.
+    """
+    groups = simhash_groups(docs, max_bits)
+    drop = written(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    return keyed(docs, drop, "left_anti")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -166,13 +166,14 @@ class ToxicityModel:
     prior: float
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5)."""
+        """``row, score, predicted``: each row of ``docs`` as a struct, its score (0 to 1), and 1 from 0.5."""
+        rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
         if self.trees is None:
-            scored = docs.withColumn("score", F.lit(self.prior))
+            scored = rows.withColumn("score", F.lit(self.prior))
         else:
-            raw = _margin(self.trees, _assembled(with_features(docs, self.learned)))
+            raw = _margin(self.trees, _assembled(with_features(rows, self.learned)))
             scored = self.curve.transform(raw).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "curve")))
-        return scored.select(*docs.columns, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        return scored.select("row", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def _assembled(frame: DataFrame) -> DataFrame:
@@ -234,8 +235,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     score is the share of toxic labels, 0 without any. Other columns are not used.
     """
     scored = train(docs, labels, train_rows).score(docs.select("doc_id", "text"))
-    held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    held_out = F.coalesce(fold(F.col("row.doc_id"), FOLDS) == 0, F.lit(False))
+    return scored.select("row.doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
