@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from wardbook.llm.components import components
 from wardbook.llm.support import keyed, table, written
@@ -39,7 +40,7 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(ones * 2 > total).view(">i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprint(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([fingerprint_of(text) for text in batch], dtype="int64")
