@@ -77,10 +77,45 @@ def test_fiscal_year_bounds_reach_the_scan(tables, long_plans):
 
 
 def test_set_revenue_compares_lines_without_another_shuffle(tables, no_broadcast):
-    """Lines are shuffled once, to their document, and compared right there."""
-    plan = plan_of(revenue.emergency_revenue(tables, "2024-01-01", "2024-02-01"))
-    by_document = re.findall(r"Exchange hashpartitioning\(is_return#\d+, doc_no#\d+L, \d+\)", plan)
-    assert len(by_document) == 2
+    """Lines are shuffled once, to their document, and first compared right there, before any name."""
+    plan = plan_of(revenue.emergency_revenue(tables, "2024-01-01", "2024-02-01")).splitlines()
+    joins = [n for n, line in enumerate(plan) if re.search(r"SortMergeJoin \[doc_no#\d+L\], \[doc_no#\d+L\], Inner", line)]
+    assert len(joins) == 2
+    for join in joins:
+        above = list(reversed(plan[:join]))
+        compared = next(n for n, line in enumerate(above) if "HashAggregate(keys=[" in line)
+        assert "doc_no" in above[compared] and "income_id" in above[compared]
+        assert not any("Exchange" in line for line in above[:compared])
+        assert "HashAggregate" in above[compared + 1] and "Exchange" not in above[compared + 1]
+
+
+def test_runtime_filter_thins_both_tables_of_lines(tables, no_broadcast, spark, long_plans):
+    with settings(
+        spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"
+    ):
+        plan = plan_of(revenue.outpatient_revenue(tables, "2024-01-01", "2024-02-01"))
+    for number in ("invoice_no", "return_no"):
+        assert re.search(rf"might_contain\([^\n]*xxhash64\({number}#", plan)
+
+
+@pytest.mark.parametrize(
+    "report", ["inpatient_revenue", "emergency_revenue", "outpatient_revenue", "revenue_dashboard"]
+)
+def test_bucketed_lines_are_not_shuffled(spark, tables, no_broadcast, report):
+    numbers = {"invoice_master_bill_dist": "invoice_no", "return_master_bill_dist": "return_no"}
+    for name, number in numbers.items():
+        spark.sql(f"drop table if exists bucketed_{name}")
+        empty = spark.createDataFrame([], SCHEMAS[name])
+        empty.write.bucketBy(2, number).sortBy(number).saveAsTable(f"bucketed_{name}")
+    bucketed = Tables(lambda name: spark.table(f"bucketed_{name}") if name in numbers else tables[name])
+    dates = ("2024-01-31",) if report == "revenue_dashboard" else ("2024-01-01", "2024-02-01")
+    plan = plan_of(REPORTS[report](bucketed, *dates)).splitlines()
+    for name in numbers:
+        (scan,) = (n for n, line in enumerate(plan) if "FileScan" in line and f"bucketed_{name}" in line)
+        below_join = next(n for n in range(scan, -1, -1) if "SortMergeJoin [doc_no" in plan[n])
+        assert not any("Exchange" in line for line in plan[below_join + 1 : scan])
+    for name in numbers:
+        spark.sql(f"drop table bucketed_{name}")
 
 
 @pytest.mark.parametrize(

@@ -1,9 +1,10 @@
 """Signed billing lines: what was invoiced, less what was returned.
 
-Invoices and returns are stacked before anything is joined, so each fact table
-is scanned once and the large join (lines to their document) happens once.
-Everything known per document is worked out at document level first.  The
-lines, by far the largest tables, then meet one narrow frame:
+Everything known per document is worked out at document level first, for
+invoices and returns in one frame.  The lines, by far the largest tables, then
+meet one narrow side of it each, on their own number: invoice lines on
+``invoice_no``, return lines on ``return_no``.  So runtime filters, pruning and
+bucketing by these numbers reach them, and each table of lines is scanned once:
 
 ``is_return, doc_no``  the document a line belongs to
 ``copies``             how many times SQL's joins would repeat that document
@@ -24,8 +25,8 @@ from wardbook.functions.moments import Moment, from_until, last_days
 from wardbook.functions.predicates import matches_if_given
 from wardbook.sources.catalog import Tables
 
-# The description of the emergency location and the stream names
-# of the revenue dashboard.
+# The description of the emergency location, which reports take
+# as a parameter, and the stream names of the revenue dashboard.
 EMERGENCY = "ADULT/PAEDS-EMERGENCY - FMH"
 INPATIENT_STREAM = "ipd_revenue"
 EMERGENCY_STREAM = "ear_revenue"
@@ -39,10 +40,15 @@ PLACE = ["location_id", "order_location_id"]
 
 @dataclass(frozen=True)
 class Encounters:
-    """Documents of a report: ``met`` after all joins, ``candidates`` a superset from headers alone."""
+    """Documents of a report: ``met`` after all joins, ``candidates`` a superset from headers alone.
+
+    ``dated`` says that a condition on the headers themselves picks the
+    candidates; then Spark can make a filter of their numbers for the lines.
+    """
 
     candidates: DataFrame
     met: DataFrame
+    dated: bool = False
 
     def union(self, other: Encounters) -> Encounters:
         return Encounters(
@@ -84,14 +90,12 @@ def bill_lines(tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Invoice lines, and return lines with the amount negated."""
     shared = ["serial_no", "contract_id", "item_id", "client_id", "income_id", "department_id"]
     billed = tables.invoice_master_bill_dist.select(
-        F.lit(False).alias("is_return"),
         F.col("invoice_no").alias("doc_no"),
         *shared,
         "qty",
         "amount",
     )
     returned = tables.return_master_bill_dist.select(
-        F.lit(True).alias("is_return"),
         F.col("return_no").alias("doc_no"),
         *shared,
         (-F.col("qty")).cast("decimal(18,2)").alias("qty"),
@@ -111,15 +115,27 @@ def near(tables: Tables, rows: DataFrame, key: str, others: DataFrame) -> DataFr
     return rows.where(F.col(key).isNotNull())
 
 
-def lines_of(tables: Tables, candidates: DataFrame, met: DataFrame) -> DataFrame:
-    """Bill lines with the columns of the document they belong to."""
+def lines_of(
+    tables: Tables, encounters: Encounters, met: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Invoice lines and return lines with the columns of the document they belong to.
+
+    The two stay apart: each is partitioned by its own number after the join,
+    and what compares or sums lines of a document needs no other shuffle.
+    """
+
+    def side(lines: DataFrame, is_return: bool) -> DataFrame:
+        of_side = F.col("is_return") == F.lit(is_return)
+        candidates = encounters.candidates.where(of_side)
+        rows = near(tables, lines, "doc_no", candidates)
+        if encounters.dated:
+            # Says nothing new, but lets a runtime filter see the dates behind the joins of ``met``.
+            rows = rows.join(candidates.select("doc_no"), "doc_no", "left_semi")
+        ours = met.where(of_side).drop("is_return")
+        return rows.join(ours, "doc_no").withColumn("is_return", F.lit(is_return))
+
     billed, returned = bill_lines(tables)
-    invoices = candidates.where(~F.col("is_return"))
-    returns = candidates.where(F.col("is_return"))
-    lines = near(tables, billed, "doc_no", invoices).unionByName(
-        near(tables, returned, "doc_no", returns)
-    )
-    return lines.join(met, DOCUMENT)
+    return side(billed, False), side(returned, True)
 
 
 def doctors(tables: Tables) -> DataFrame:
@@ -175,10 +191,15 @@ def located(tables: Tables, admitted: DataFrame, location: Column) -> DataFrame:
 
 
 def admitted_encounters(
-    tables: Tables, start: Moment, end: Moment, filters: Filters, emergency: bool
+    tables: Tables,
+    start: Moment,
+    end: Moment,
+    filters: Filters,
+    emergency: bool,
+    emergency_place: str = EMERGENCY,
 ) -> Encounters:
     """Documents of stays that got a final invoice in the window, by care setting."""
-    described = F.upper(F.col("order_location"))
+    there = F.upper(F.col("order_location")) == emergency_place.upper()
     finals = tables.final_invoice_master.where(
         from_until(F.col("final_invoice_date"), start, end)
     ).select("admission_no")
@@ -192,7 +213,7 @@ def admitted_encounters(
         "order_admission_type",
     )
     candidates = near(tables, documents(tables), "admission_no", finals)
-    at = located(tables, candidates, described == EMERGENCY if emergency else described != EMERGENCY)
+    at = located(tables, candidates, there if emergency else ~there)
     return Encounters(candidates, at.join(stays(tables, admissions, filters), STAY))
 
 
@@ -223,7 +244,7 @@ def outpatient_encounters(
             "patient_type",
         )
     )
-    return Encounters(candidates, met)
+    return Encounters(candidates, met, dated=True)
 
 
 REVENUE_GROUP = ["doctor", "department", "sub_ldgr_desc", "patient_type", "cl_name", "in_setup"]
@@ -252,9 +273,17 @@ def with_names(
 
 
 def revenue_as_bag(tables: Tables, encounters: Encounters, filters: Filters) -> DataFrame:
-    """Every line as often as the joins give it (UNION ALL)."""
+    """Every line as often as the joins give it (UNION ALL), summed per document and codes before the names."""
     met = encounters.met.select(*DOCUMENT, "invoice_no", "doctor", "department", "patient_type")
-    lines = lines_of(tables, encounters.candidates, met)
+    codes = ["income_id", "client_id", "department_id"]
+
+    def per_document(lines: DataFrame) -> DataFrame:
+        return lines.groupBy(
+            "doc_no", "invoice_no", "doctor", "department", "patient_type", *codes
+        ).agg(F.sum("amount").alias("amount"))
+
+    billed, returned = lines_of(tables, encounters, met)
+    lines = per_document(billed).unionByName(per_document(returned))
     named = with_names(tables, lines, filters.sub_ledger, each_name_once=False)
     return revenue_totals(named, F.col("amount"))
 
@@ -266,26 +295,26 @@ def revenue_as_set(
 
     ``line_identity`` lists the line's own columns of the union.  The two
     branches never share a row (only returns have a return number), so the
-    duplicates all lie within one document and are found where its lines
-    already are.  Document columns the totals do not use only tell documents
+    duplicates all lie within one document.  Lines with equal codes are found
+    where the document's lines already are; the few that different codes with
+    equal names still leave are found after the names.  Document columns the totals do not use only tell documents
     apart; the distinct combinations of them are counted per document and
     stay out of the line-level comparison.
     """
     told_apart = (
         encounters.met.distinct().groupBy(*ENCOUNTER_GROUP).agg(F.count(F.lit(1)).alias("copies"))
     )
-    lines = lines_of(tables, encounters.candidates, told_apart)
-    named = with_names(tables, lines, filters.sub_ledger, each_name_once=True)
-    once = named.select(
-        *ENCOUNTER_GROUP,
-        "copies",
-        *line_identity,
-        "amount",
-        "cl_name",
-        "sub_ldgr_desc",
-        "in_setup",
-    ).distinct()
-    return revenue_totals(once, F.col("amount") * F.col("copies").cast("decimal(9,0)"))
+    codes = ["income_id", "client_id", "department_id"]
+    kept = [*ENCOUNTER_GROUP, "copies", *line_identity, "amount"]
+
+    def once(lines: DataFrame) -> DataFrame:
+        coded = lines.select(*dict.fromkeys([*kept, *codes])).distinct()
+        named = with_names(tables, coded, filters.sub_ledger, each_name_once=True)
+        return named.select(*kept, "cl_name", "sub_ldgr_desc", "in_setup").distinct()
+
+    billed, returned = lines_of(tables, encounters, told_apart)
+    lines = once(billed).unionByName(once(returned))
+    return revenue_totals(lines, F.col("amount") * F.col("copies").cast("decimal(9,0)"))
 
 
 def revenue_totals(lines: DataFrame, amount: Column) -> DataFrame:
@@ -295,7 +324,9 @@ def revenue_totals(lines: DataFrame, amount: Column) -> DataFrame:
     )
 
 
-def recent_stays(tables: Tables, as_of: Moment | None) -> Encounters:
+def recent_stays(
+    tables: Tables, as_of: Moment | None, emergency_place: str = EMERGENCY
+) -> Encounters:
     """Dashboard side of inpatient and emergency: (document, stream, copies).
 
     Inpatient lines repeat for every recent final invoice of the stay,
@@ -310,7 +341,7 @@ def recent_stays(tables: Tables, as_of: Moment | None) -> Encounters:
         admitted.select(*STAY, *ORDER, "doctor_id"), counted, ["admission_no"]
     )
     candidates = near(tables, documents(tables), "admission_no", finals)
-    emergency = F.col("order_location") == EMERGENCY
+    emergency = F.col("order_location") == emergency_place
     met = (
         located(tables, candidates, F.col("order_location").isNotNull())
         .join(stays(tables, admissions, None), STAY)
@@ -351,8 +382,9 @@ def revenue_by_head(tables: Tables, recent: Encounters) -> DataFrame:
     Lines are summed per key before the names are joined on, so the joins that
     keep unknown clients and departments see a few thousand rows, not the lines.
     """
+    billed, returned = lines_of(tables, recent, recent.met)
     summed = (
-        lines_of(tables, recent.candidates, recent.met)
+        billed.unionByName(returned)
         .groupBy("stream", "income_id", "client_id", "department_id")
         .agg(F.sum(F.col("amount") * F.col("copies").cast("decimal(9,0)")).alias("amount"))
     )

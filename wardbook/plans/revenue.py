@@ -37,10 +37,11 @@ def inpatient_revenue(
     department: str | None = None,
     sub_ledger: str | None = None,
     patient_type: str | None = None,
+    emergency_place: str = billing.EMERGENCY,
 ) -> DataFrame:
     """Invoices and amount of stays finalised in [start, end), emergency left out."""
     filters = Filters(name, department, sub_ledger, patient_type)
-    met = billing.admitted_encounters(tables, start, end, filters, emergency=False)
+    met = billing.admitted_encounters(tables, start, end, filters, False, emergency_place)
     return _as_admitted(billing.revenue_as_bag(tables, met, filters))
 
 
@@ -52,10 +53,11 @@ def emergency_revenue(
     department: str | None = None,
     sub_ledger: str | None = None,
     patient_type: str | None = None,
+    emergency_place: str = billing.EMERGENCY,
 ) -> DataFrame:
     """The same for the emergency location, where equal lines count once."""
     filters = Filters(name, department, sub_ledger, patient_type)
-    met = billing.admitted_encounters(tables, start, end, filters, emergency=True)
+    met = billing.admitted_encounters(tables, start, end, filters, True, emergency_place)
     return _as_admitted(billing.revenue_as_set(tables, met, filters, ADMITTED_LINE))
 
 
@@ -81,15 +83,19 @@ def _panel(tables: Tables, recent: Encounters, stream: str) -> DataFrame:
     return in_order(heads.select("in_setup", "amount"), "in_setup")
 
 
-def panel_inpatient(tables: Tables, as_of: Moment | None = None) -> DataFrame:
+def panel_inpatient(
+    tables: Tables, as_of: Moment | None = None, emergency_place: str = billing.EMERGENCY
+) -> DataFrame:
     """Inpatient revenue by income head, final invoices of the last 30 days."""
-    recent = billing.recent_stays(tables, as_of)
+    recent = billing.recent_stays(tables, as_of, emergency_place)
     return _panel(tables, recent, billing.INPATIENT_STREAM)
 
 
-def panel_emergency(tables: Tables, as_of: Moment | None = None) -> DataFrame:
+def panel_emergency(
+    tables: Tables, as_of: Moment | None = None, emergency_place: str = billing.EMERGENCY
+) -> DataFrame:
     """Emergency revenue by income head, final invoices of the last 30 days."""
-    recent = billing.recent_stays(tables, as_of)
+    recent = billing.recent_stays(tables, as_of, emergency_place)
     return _panel(tables, recent, billing.EMERGENCY_STREAM)
 
 
@@ -101,9 +107,11 @@ def panel_outpatient(tables: Tables, as_of: Moment | None = None) -> DataFrame:
     )
 
 
-def revenue_dashboard(tables: Tables, as_of: Moment | None = None) -> DataFrame:
+def revenue_dashboard(
+    tables: Tables, as_of: Moment | None = None, emergency_place: str = billing.EMERGENCY
+) -> DataFrame:
     """The three panels in one frame and one pass over the lines."""
-    recent = billing.recent_stays(tables, as_of).union(
+    recent = billing.recent_stays(tables, as_of, emergency_place).union(
         billing.recent_outpatients(tables, as_of)
     )
     return in_order(billing.revenue_by_head(tables, recent), "stream", "in_setup")

@@ -12,6 +12,12 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A filter made of the keys of one side of a join thins the other before its
+    # shuffle. It never changes a result; the limit is what the side that the
+    # filter is made from may hold, and the documents of a year are more than
+    # Spark's 10 MB.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
 }
 
 
