@@ -46,9 +46,7 @@ def open_invoices(tables: Tables, client_invoices: DataFrame) -> DataFrame:
     invoices = finals.where(outstanding & F.col("final_invoice_type").isin(OPEN_TYPES)).drop(
         "admission_no", "admission_date"
     )
-    return addressed_invoices(
-        tables, join_reduced(invoices, client_invoices, ["client_invoice_no"], "left_semi")
-    )
+    return join_reduced(invoices, client_invoices, ["client_invoice_no"], "left_semi")
 
 
 def settled_invoices(tables: Tables) -> DataFrame:
@@ -63,35 +61,44 @@ def settled_invoices(tables: Tables) -> DataFrame:
     invoices = tables.final_invoice_master.where(F.abs(F.round(left)) == 0).drop(
         "admission_no", "admission_date"
     )
-    return addressed_invoices(tables, join_reduced(invoices, pairs, process, "left_semi"))
+    return join_reduced(invoices, pairs, process, "left_semi")
 
 
-def with_stay_details(
-    tables: Tables, invoices: DataFrame, client_invoices: DataFrame | None = None
-) -> DataFrame:
-    """Add first reference letter, last admission and last admission date per invoice.
+def with_stay_details(tables: Tables, invoices: DataFrame) -> DataFrame:
+    """Name the invoices and add first reference letter, last admission and last admission date of each.
 
-    The three values come from one aggregation of the corporate details.  The
-    letters and admissions are reduced to one row per key beforehand; minima
-    and maxima are the same with or without repeats.  Where all invoices are
-    billed through ``client_invoices``, other details are left out early.
+    The three values come from one aggregation of those corporate details that
+    belong to the invoices.  Letters and admissions are reduced to one row per
+    key beforehand (minima and maxima are the same with or without repeats) and
+    met where that grouping left them; NULL keys, which meet nothing, are left
+    out of it.  Details without a letter are dealt out by their invoice, so
+    they do not gather in one task.
     """
-    letters = tables.ref_letter_master.groupBy("ref_letter_no").agg(
-        F.min("client_ref_no").alias("client_ref_no")
-    )
-    admitted = tables.final_invoice_master.groupBy("admission_no", "mrno").agg(
-        F.max("admission_date").alias("admission_date")
+    letters = (
+        tables.ref_letter_master.where(F.col("ref_letter_no").isNotNull())
+        .groupBy(F.col("ref_letter_no").cast("string").alias("letter"))
+        .agg(F.min("client_ref_no").alias("client_ref_no"))
     )
-    details = tables.pbs_tran_detail_corporate.withColumnRenamed(
-        "final_invoice_no", "client_invoice_no"
+    admitted = (
+        tables.final_invoice_master.where(F.col("admission_no").isNotNull() & F.col("mrno").isNotNull())
+        .groupBy("admission_no", "mrno")
+        .agg(F.max("admission_date").alias("admission_date"))
     )
-    if client_invoices is not None:
-        details = join_reduced(details, client_invoices, ["client_invoice_no"], "left_semi")
-    details = join_reduced(details, letters, ["ref_letter_no"], "left")
-    details = join_reduced(details, admitted, ["admission_no", "mrno"], "left")
-    per_invoice = details.groupBy(*INVOICE).agg(
-        F.min("client_ref_no").alias("ref_letter_no"),
-        F.max("admission_no").alias("admission_no"),
-        F.max("admission_date").alias("admission_date"),
+    without = F.concat(F.lit("without letter "), F.col("client_invoice_no").cast("string"))
+    details = join_reduced(
+        tables.pbs_tran_detail_corporate.withColumnRenamed("final_invoice_no", "client_invoice_no"),
+        invoices.select(*INVOICE).distinct(),
+        INVOICE,
+        "left_semi",
+    ).withColumn("letter", F.coalesce(F.col("ref_letter_no").cast("string"), without))
+    per_invoice = (
+        details.join(letters, "letter", "left")
+        .join(admitted, ["admission_no", "mrno"], "left")
+        .groupBy(*INVOICE)
+        .agg(
+            F.min("client_ref_no").alias("ref_letter_no"),
+            F.max("admission_no").alias("admission_no"),
+            F.max("admission_date").alias("admission_date"),
+        )
     )
-    return join_reduced(invoices, per_invoice, INVOICE, "left")
+    return join_reduced(addressed_invoices(tables, invoices), per_invoice, INVOICE, "left")

@@ -12,6 +12,7 @@ from wardbook.functions.moments import Moment, from_until, last_days
 from wardbook.operators.receipts import client_receipt_lines, unrefunded
 from wardbook.operators.receivables import (
     CLIENT_INVOICE_TYPES,
+    addressed_invoices,
     open_invoices,
     settled_invoices,
     unpaid_client_invoices,
@@ -107,7 +108,7 @@ def referral_letter_amounts(
 def debtor_aging_open(tables: Tables, cutoff: Moment = AGING_CUTOFF) -> DataFrame:
     """Open client invoices with letter and admission."""
     unpaid = unpaid_client_invoices(tables, cutoff)
-    rows = with_stay_details(tables, open_invoices(tables, unpaid), unpaid).select(
+    rows = with_stay_details(tables, open_invoices(tables, unpaid)).select(
         "client_id",
         "client_name",
         "process_id",
@@ -178,13 +179,15 @@ def client_unadjusted_receipts(
     """Receipt instruments with more than ``min_amount`` per line still to adjust."""
     named = F.col("name").isNotNull()
     for word in excluded:
-        named = named & ~F.upper("name").contains(word)
+        named = named & ~F.upper("name").contains(word.upper())
     clients = tables.client.where(named)
     unadjusted = or_zero("amount") + or_zero("wht_tax") - or_zero("received_amount")
     lines = tables.cash_receive_detail.select(
         "receive_no", "instrument_no", unadjusted.alias("unadjusted")
     ).where(F.col("unadjusted") > min_amount)
-    receipts = tables.cash_receive_master.select("receive_no", "client_id", "receive_date")
+    receipts = tables.cash_receive_master.where(F.col("client_id").isNotNull()).select(
+        "receive_no", "client_id", "receive_date"
+    )
     rows = (
         unrefunded(tables, receipts)
         .join(lines, "receive_no")
@@ -226,7 +229,8 @@ def kpi_total_receivable(tables: Tables, cutoff: Moment = AGING_CUTOFF) -> DataF
     """Sum remaining on all open client invoices."""
     total = F.coalesce(F.sum("remaining"), F.lit(0))
     unpaid = unpaid_client_invoices(tables, cutoff)
-    return open_invoices(tables, unpaid).agg(money(total, "total_receivable"))
+    addressed = addressed_invoices(tables, open_invoices(tables, unpaid))
+    return addressed.agg(money(total, "total_receivable"))
 
 
 def kpi_client_receipts(tables: Tables, as_of: Moment | None = None) -> DataFrame:
