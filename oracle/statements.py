@@ -416,7 +416,7 @@ GROUP BY strftime(e.trans_date, '%m-%Y'), e.coa_code, acc.coa_description, e.led
         "stock_movement_daily": f"""
 SELECT mv.store_id, st.description AS store, CAST(date_trunc('day', mv.transaction_date) AS TIMESTAMP)
     AS transaction_date, mv.item_id,
-  (SELECT min(lab.label) FROM item_label lab WHERE lab.item_id = mv.item_id) AS item,
+  (SELECT min(lab.label) FROM drug_label lab WHERE lab.item_id = mv.item_id) AS item,
   mv.transaction_type_id, kind.description,
   CAST(sum(mv.qty_debit) AS DECIMAL(28,2)) AS qty_debit,
   CAST(sum(mv.qty_debit * mv.moving_average_price) AS DECIMAL(38,6)) AS debt_value,

@@ -261,7 +261,8 @@ def test_stock_balance_is_unknown_when_a_side_never_moved(world):
         ],
         store=[{"store_id": "s1", "description": "Main", "main_sub": "M"}],
         transaction_type=[{"transaction_type_id": "026", "description": "TRANSFER"}],
-        item_label=[{"item_id": 1, "label": "Gauze"}],
+        drug_label=[{"item_id": 1, "label": "Gauze"}],
+        item_label=[{"item_id": 1, "label": "Another"}, {"item_id": 2, "label": "Another"}],
     )
     report = stock.stock_movement_daily(tables, "2024-01-01", "2024-02-01")
     found = rows_of(report, "transaction_date", "item_id", "item", "debt_value", "balance")

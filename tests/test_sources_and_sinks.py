@@ -15,12 +15,12 @@ from wardbook.plans.registry import REPORTS
 from wardbook.sinks.reports import SHEET_DATE_COLUMNS, sheet, write_rows, write_sheet, write_table
 from wardbook.sources.catalog import Tables, declared_columns
 from wardbook.sources.fixtures import FIXTURES, fixture_tables
-from wardbook.sources.schemas import OWNERS, SCHEMAS
+from wardbook.sources.schemas import FACTS, OWNERS, SCHEMAS
 
 
 def test_every_fixture_is_declared_filled_and_of_its_declared_type(spark, small_dir):
     tables = fixture_tables(spark, small_dir)
-    assert set(FIXTURES) == set(SCHEMAS) == set(OWNERS) and len(SCHEMAS) == 55
+    assert set(FIXTURES) == set(SCHEMAS) == set(OWNERS) and len(SCHEMAS) == 56
     for name in SCHEMAS:
         assert [(f.name, f.dataType.simpleString()) for f in tables[name].schema] == (
             declared_columns(name)
@@ -93,11 +93,20 @@ def test_database_tables_are_read_in_parallel_ranges(spark, world):
         "url": "jdbc:oracle:thin:@//host/service",
         "dbtable": "security.users",
         "preferTimestampNTZ": "true",
+        "customSchema": SCHEMAS["users"],
+        "fetchsize": "10000",
         "user": "u",
         **split,
     }
 
 
+def test_facts_are_not_read_through_one_connection(world):
+    tables = Tables.from_jdbc(Reader(world().inventory_ledger), "u", {})
+    with pytest.raises(ValueError, match="inventory_ledger"):
+        tables.inventory_ledger  # noqa: B018
+    assert FACTS <= set(SCHEMAS)
+
+
 def test_database_relation_can_be_replaced(spark, world):
     reader = Reader(world(item_label=[{"item_id": 1, "label": "L"}]).item_label)
     labels = "(select item_id, label_of(item_id) label from items) t"

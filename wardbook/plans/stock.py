@@ -67,7 +67,7 @@ def stock_movement_daily(tables: Tables, start: Moment, end: Moment) -> DataFram
     types = tables.transaction_type.select("transaction_type_id", "description")
     named = summed.join(main, "store_id").join(types, "transaction_type_id")
     rows = (
-        look_up(named, "item_id", tables.item_label, "item")
+        look_up(named, "item_id", tables.drug_label, "item")
         .groupBy("store_id", "store", *keys[1:3], "item", keys[3], "description")
         .agg(
             money(F.sum("qty_debit"), "qty_debit"),

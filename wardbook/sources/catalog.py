@@ -11,7 +11,10 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardbook.sources.schemas import OWNERS, SCHEMAS
+from wardbook.sources.schemas import FACTS, OWNERS, SCHEMAS
+
+FETCH_ROWS = 10_000
+"""Rows a database sends at once."""
 
 
 def declared_columns(table: str) -> list[tuple[str, str]]:
@@ -114,14 +117,20 @@ class Tables:
 
         ``splits`` gives, per table, the ``partitionColumn``, ``lowerBound``,
         ``upperBound`` and ``numPartitions`` of a parallel read.  A table
-        without an entry is read through one connection, so every fact table
-        should have one.
+        without an entry is read through one connection; for a table that grows
+        with the hospital's work (``FACTS``) that is a ``ValueError``, raised when
+        a report asks for it.  Columns are read with their declared types, so
+        no cast stands between a filter and the database.
         """
 
         def load(name: str) -> DataFrame:
+            if name in FACTS and name not in (splits or {}):
+                raise ValueError(f"{name} is too large for one connection: give it an entry in splits")
             reader = (
                 spark.read.format("jdbc")
                 .option("url", url)
+                .option("customSchema", SCHEMAS[name])
+                .option("fetchsize", str(FETCH_ROWS))
                 .option("dbtable", (relations or {}).get(name, f"{OWNERS[name]}.{name}"))
                 .option("preferTimestampNTZ", "true")
                 .options(**properties)

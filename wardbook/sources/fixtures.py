@@ -252,6 +252,9 @@ FIXTURES: dict[str, str] = {
     "item_label": """
         select p_partkey as item_id, concat(p_brand,' ',p_name) as label from {part} where p_size<>1
     """,
+    "drug_label": """
+        select p_partkey as item_id, concat(p_name,' / ',p_brand) as label from {part} where p_size<>2
+    """,
     "transaction_type": """
         select '026' as transaction_type_id, 'TRANSFER' as description union all select '001','PURCHASE'
         union all select '002','ISSUE'
@@ -293,7 +296,7 @@ FIXTURES: dict[str, str] = {
     """,
     "donation_types": """
         select r_regionkey as donation_type_id, g as donation_group_id, concat(r_name,' ',cast(g as string))
-        as description from {region} cross join (select 0 as g union all select 1) x
+        as description from (select r_regionkey, r_name, 0 as g from {region} union all select r_regionkey, r_name, 1 from {region}) x
     """,
     "def_arrear": """
         select cast(r_regionkey as string) as arrear_code, r_name as description from {region}

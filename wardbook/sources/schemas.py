@@ -193,6 +193,9 @@ OWNED_TABLES: dict[str, dict[str, str]] = {
         "item_label": (
             "item_id bigint, label string"
         ),
+        "drug_label": (
+            "item_id bigint, label string"
+        ),
     },
     "inventory": {
         "inventory_ledger": (
@@ -248,3 +251,14 @@ SCHEMAS: dict[str, str] = {
 OWNERS: dict[str, str] = {
     table: owner for owner, tables in OWNED_TABLES.items() for table in tables
 }
+
+# Tables that grow with the hospital's work; a database has to be asked for them in parallel ranges.
+FACTS = frozenset(
+    """
+    invoice_master invoice_master_bill_dist return_master return_master_bill_dist order_master
+    order_patient_admission final_invoice_master pbs_tran_detail pbs_tran_detail_corporate
+    cash_receive_master cash_receive_detail final_receipt_detail2 gl_tran_master gl_tran_detail
+    pf_tran_master pf_tran_detail mms_item_ledger inventory_ledger store_transfer_master
+    store_transfer_detail donation ref_letter_master
+    """.split()
+)
