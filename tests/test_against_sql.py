@@ -27,7 +27,7 @@ def ordered(rows):
 
 
 def test_every_report_has_a_statement():
-    assert set(STATEMENTS) == set(REPORTS) == set(entry_module.queries())
+    assert set(REPORTS) <= set(STATEMENTS) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("key", list(REPORTS))

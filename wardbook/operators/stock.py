@@ -53,7 +53,7 @@ def consumption(tables: Tables, window: Column, location: str) -> DataFrame:
 def transfers(tables: Tables, start: Moment, end: Moment, from_store: str) -> DataFrame:
     """Transfer lines out of stores whose upper-case description matches the pattern."""
     sources = tables.store.where(
-        F.upper(F.col("description")).like(like_pattern(from_store))
+        F.upper(F.col("description")).like(like_pattern(from_store.upper()))
     ).select(F.col("store_id").alias("from_store_id"), F.col("description").alias("from_store"))
     targets = tables.store.select(
         F.col("store_id").alias("to_store_id"), F.col("description").alias("to_store")
