@@ -1,0 +1,206 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tests.llm.conftest import ODD_ROWS, in_order
+from wardbook.llm import encoding, language, licences, tokens, toxicity
+
+
+def encoded(text):
+    ids = tokens.rank_ids(text or "").astype("<u4")
+    data = (text or "").encode()
+    return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(data).hexdigest()
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk": 200, "overlap": 50}, {"chunk": 64, "overlap": 2}])
+def test_encoding_round_trip(documents, texts, options):
+    found = encoding.byte_bpe(documents, **options).toPandas()
+    assert sorted(found["doc_id"]) == sorted(texts)
+    for r in found.itertuples():
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == encoded(texts[r.doc_id])
+
+
+def test_encoding_odd_rows(made_docs):
+    rows = [*ODD_ROWS, (11, " " * 3000), (12, "don't we'll  \n\n  x" * 300), (13, "汉" * 2000), (14, "<|endoftext|>")]
+    found = encoding.byte_bpe(made_docs(rows, extra=True), chunk=500, overlap=60).toPandas()
+    wanted = sorted((-1 if i is None else i, *encoded(t)) for i, t in rows)
+    assert sorted(found.fillna({"doc_id": -1}).itertuples(index=False, name=None)) == wanted
+    assert encoding.byte_bpe(made_docs([])).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab 1'st\n.é"), min_size=20, max_size=60), st.integers(5, 12))
+def test_cuts_do_not_change_the_ids(text, size):
+    chunk = text[: size + 12]
+    cut = encoding.common_boundary(chunk, min(size, len(chunk) - 1)) if len(chunk) > size else None
+    if cut is not None:
+        assert [*tokens.rank_ids(text[:cut]), *tokens.rank_ids(text[cut:])] == [*tokens.rank_ids(text)]
+
+
+@pytest.fixture(scope="module")
+def labels(spark, small_dir):
+    return spark.read.parquet(f"{small_dir.replace('0.001', '0.01')}/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def more_documents(spark, small_dir):
+    return spark.read.parquet(f"{small_dir.replace('0.001', '0.01')}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def scores(more_documents, labels):
+    return toxicity.toxicity(more_documents, labels).toPandas()
+
+
+def test_toxicity_on_held_out_documents(more_documents, labels, scores):
+    assert len(scores) == more_documents.count() and scores["score"].between(0, 1).all()
+    assert (scores["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in scores["doc_id"]]).all()
+    assert (scores["predicted"] == (scores["score"] >= 0.5)).all()
+    both = scores.merge(labels.toPandas(), on="doc_id").merge(more_documents.select("doc_id", "lang").toPandas(), on="doc_id")
+    held = both[both["held_out"] & (both["lang"] == "en")]
+    assert (held["predicted"] == held["toxic"]).mean() >= 0.95
+    clean = both[both["held_out"] & (both["toxic"] == 0)]
+    assert clean["predicted"].mean() <= 0.03
+
+
+def test_held_out_labels_teach_nothing(more_documents, labels, scores):
+    turned = labels.withColumn("toxic", toxicity.F.when(toxicity.fold(toxicity.F.col("doc_id"), 5) == 0, 1 - labels["toxic"]).otherwise(labels["toxic"]))
+    again = toxicity.toxicity(more_documents, turned).toPandas()
+    pd.testing.assert_frame_equal(in_order(DF(again), "doc_id"), in_order(DF(scores), "doc_id"))
+
+
+class DF:
+    def __init__(self, frame):
+        self.toPandas = lambda: frame
+
+
+def test_toxicity_odd_rows(made_docs, spark, more_documents, labels):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = toxicity.toxicity(made_docs(ODD_ROWS, extra=True), none).toPandas()
+    assert len(found) == len(ODD_ROWS) and (found["score"] == 0).all() and not found["predicted"].any()
+    odd = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 1, 1), (2, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(made_docs(ODD_ROWS), odd).count() == len(ODD_ROWS)
+    assert toxicity.toxicity(made_docs([]), odd).count() == 0
+    model = toxicity.train(more_documents, labels)
+    rows = model.score(made_docs([*ODD_ROWS, (20, "you idiot, you pathetic moron"), (21, "a calm text")], extra=True))
+    by = {r["row"]["doc_id"]: r["score"] for r in rows.collect()}
+    assert by[20] > by[21] and by[2] == by[3]
+
+
+def test_features_see_hidden_and_shouted_words():
+    names = toxicity.FEATURES
+    found = dict(zip(names, toxicity.features_of("You 1diot!! SHOUT sooo", {"soon": 1.0}), strict=True))
+    assert found["hidden_hits"] == 1 and found["near_second_person"] == 1 and found["shouted_share"] > 0
+    assert found["repeated_rate"] > 0 and found["exclamation_rate"] > 0
+    assert len(toxicity.features_of(None, {})) == len(names)
+
+
+def test_language_on_held_out_documents(documents):
+    found = language.language_id(documents).toPandas()
+    assert (found["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in found["doc_id"]]).all()
+    both = found.merge(documents.select("doc_id", "lang").toPandas(), on="doc_id")
+    held = both[both["held_out"]]
+    assert len(held) > 20 and (held["lang"] == held["lang_pred"]).mean() >= 0.97
+    assert both["score"].between(0, 1).all()
+
+
+def plain_bits(counts, text):
+    tree = defaultdict(dict)
+    for event, n in counts.items():
+        for order in range(5):
+            key = event & ((1 << 8 * (order + 1)) - 1)
+            tree[order, key >> 8][key & 255] = tree[order, key >> 8].get(key & 255, 0) + n
+    bits, padded = 0.0, b"\0" * 4 + text
+    for i in range(4, len(padded)):
+        for order in (4, 3, 2, 1, 0):
+            seen = tree.get((order, int.from_bytes(padded[i - order : i], "big")))
+            if seen is None:
+                continue
+            total = sum(seen.values()) + len(seen)
+            if padded[i] in seen:
+                bits -= math.log2(seen[padded[i]] / total)
+                break
+            bits -= math.log2(len(seen) / total)
+        else:
+            bits += 8
+    return bits
+
+
+def test_code_lengths_equal_a_plain_context_tree(monkeypatch):
+    rng = np.random.default_rng(4)
+    taught = [b"the cat sat on the mat and the hat", b"le chat est sur le tapis", bytes(rng.integers(0, 256, 300, np.uint8))]
+    rows, counts = [], []
+    for n, text in enumerate(taught):
+        event, times = np.unique(language.events(text), return_counts=True)
+        rows.append(pd.DataFrame({"language": n, "event": event.astype("int64"), "n": times}))
+        counts.append(dict(zip(event.tolist(), times.tolist(), strict=True)))
+    levels = language.build(pd.concat(rows), ["a", "b", "c"])
+    monkeypatch.setattr(language, "_BATCH", 7)
+    for text in (b"the chat sat", b"\xff\xfe\x00 le", taught[2][:40], b""):
+        assert np.allclose(language.bits_of(text, levels, 3), [plain_bits(c, text) for c in counts])
+
+
+def test_language_odd_rows(made_docs, documents):
+    rows = [*ODD_ROWS, (30, "12345 !!")]
+    found = language.language_id(made_docs(rows, extra=True)).toPandas()
+    assert len(found) == len(rows)
+    nothing = found[found["doc_id"].isin([2, 3, 4, 30])]
+    assert (nothing["lang_pred"] == "und").all() and (nothing["score"] == 0).all()
+    assert (found[found["doc_id"].isin([5, 6])]["lang_pred"] == "en").all()
+    assert language.language_id(made_docs([])).count() == 0
+    untaught = made_docs(ODD_ROWS).selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert {r["lang_pred"] for r in language.language_id(untaught).collect()} == {"und"}
+    assert len(language.train(documents, language_bytes=2000).levels) == 5
+
+
+def test_licences_equal_sql(documents):
+    docs = documents.toPandas().assign(text=lambda d: d["text"].where(d["doc_id"] % 17 != 0, None))  # noqa: F841
+    found = in_order(licences.licences(documents.sparkSession.createDataFrame(docs.astype(object).where(docs.notna(), None), documents.schema)), "doc_id")
+    wanted = duckdb.sql(licences.SQL.replace("from documents", "from docs")).df().sort_values("doc_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(found, wanted[list(found.columns)], check_dtype=False)
+    assert (found["licences"] != "").any()
+
+
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+ warranties of merchantability, fitness for a particular purpose and noninfringement. More text.
+"""
+
+
+def test_licence_rules(made_docs):
+    rows = [
+        *ODD_ROWS,
+        (40, MIT),
+        (41, "Hello.\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License."),
+        (42, "See the GNU General Public License for more details."),
+        (43, "Neither is Released under the MIT License. here"),
+    ]
+    found = {r["doc_id"]: r for r in licences.licences(made_docs(rows, extra=True)).collect()}
+    assert found[40]["licences"] == "MIT" and found[40]["unruled"] == ""
+    assert found[40]["sentence_ids"] == "<mit-title-short><mit-grant><mit-keep><mit-asis>"
+    assert found[41]["licences"] == "Apache-2.0,MIT"
+    assert found[42]["licences"] == "" and found[42]["unruled"] == "<gpl-see>"
+    assert found[2]["n_sentences"] == found[3]["n_sentences"] == 0 and found[43]["licences"] == ""
+    assert licences.licences(made_docs([])).count() == 0
+    assert {i for _, ids in licences.RULES for i in ids} <= set(licences.SENTENCES)
