@@ -128,3 +128,29 @@ def without_passages(docs: DataFrame, part_bytes: int = PART_BYTES, giant: int =
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+with words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), placed as (
+    select doc_id, len(w) as n, unnest(range(1, len(w) + 1)) as i, unnest(w) as word, w from words
+), windows as (
+    select doc_id, i, word, n, case when i + 12 <= n then array_to_string(w[i:i + 12], ' ') end as text from placed
+), judged as (
+    select doc_id, i, word,
+           text is not null and min(doc_id) over (partition by text) < doc_id as repeated
+    from windows
+), marked as (
+    select doc_id, i, word,
+           coalesce(max(repeated::int) over (partition by doc_id order by i rows between 12 preceding and current row), 0) as gone
+    from judged
+), summed as (
+    select doc_id, count(*) as n_words, sum(gone)::bigint as n_removed,
+           coalesce(string_agg(word, ' ' order by i) filter (where gone = 0), '') as kept
+    from marked group by doc_id
+)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join summed using (doc_id)
+"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_passages": passages.op10_passages,
 }
 
-ORACLE_SQL = {"op3_exact_dedup": exact.SQL, "op6_licences": licences.SQL}
+ORACLE_SQL = {
+    "op1_near_vectors": vectors.SQL,
+    "op3_exact_dedup": exact.SQL,
+    "op5_suffix_dedup": substrings.SQL,
+    "op6_licences": licences.SQL,
+    "op10_passages": passages.SQL,
+}

@@ -146,3 +146,30 @@ def suffix_dedup(docs: DataFrame, part_bytes: int = PART_BYTES, giant: int = GIA
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+with bytes as (
+    select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), placed as (
+    select doc_id, unnest(range(0, len(h) // 2)) as i, unnest([substr(h, 2 * x + 1, 100) for x in range(0, len(h) // 2)]) as part
+    from bytes
+), judged as (
+    select doc_id, i, part[1:2] as byte, case when len(part) = 100 then part end as string from placed
+), first as (
+    select doc_id, i, byte, string is not null and min(doc_id) over (partition by string) < doc_id as repeated from judged
+), marked as (
+    select doc_id, i, byte,
+           max(repeated::int) over (partition by doc_id order by i rows between 49 preceding and current row) as gone
+    from first
+), edges as (
+    select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0 as opens from marked
+), summed as (
+    select doc_id, count(*) as n_bytes, sum(gone)::bigint as n_removed, sum(opens::int)::bigint as n_spans,
+           coalesce(string_agg(byte, '' order by i) filter (where gone = 0), '') as kept
+    from edges group by doc_id
+)
+select d.doc_id, coalesce(n_bytes, 0)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+       coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from documents d left join summed using (doc_id)
+"""

@@ -189,3 +189,26 @@ def near_vectors(
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+with recursive usable as (
+    select vec_id, embedding::double[] as v from embeddings
+    where vec_id is not null and embedding is not null
+      and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+      and list_sum([x::double * x::double for x in embedding]) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from usable a join usable b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    where list_cosine_similarity(a.v, b.v) >= 0.9
+), reached(vec_id, origin) as (
+    select vec_id, vec_id from embeddings
+    union
+    select links.b, reached.origin from reached join links on links.a = reached.vec_id
+), counted as (
+    select a, count(*) as n from links group by a
+), least as (
+    select vec_id, min(origin) as component_id from reached group by vec_id
+)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join least using (vec_id) left join counted on counted.a = e.vec_id
+"""
