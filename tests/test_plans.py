@@ -162,12 +162,44 @@ def test_number_ranges_reach_the_line_scans_when_asked(tables, long_plans):
         assert re.search(rf"DataFilters: \[[^]]*{number}#\d+L >= [^]]*[Ss]ubquery", scan)
 
 
-@pytest.mark.parametrize("key", ["inpatient_revenue", "outpatient_revenue", "revenue_dashboard"])
+BOUNDED = {
+    "inpatient_revenue": [("order_master", "order_no")],
+    "emergency_revenue": [("invoice_master_bill_dist", "invoice_no")],
+    "outpatient_revenue": [("order_master", "order_no")],
+    "panel_inpatient": [("order_master", "order_no")],
+    "panel_emergency": [("return_master_bill_dist", "return_no")],
+    "panel_outpatient": [("order_master", "order_no")],
+    "revenue_dashboard": [("invoice_master_bill_dist", "invoice_no")],
+    "client_receipts": [("cash_receive_detail", "receive_no")],
+    "kpi_client_receipts": [("cash_receive_detail", "receive_no")],
+    "card_receipts": [("cash_receive_detail", "receive_no")],
+    "pharmacy_transfers": [("store_transfer_detail", "trans_no")],
+    "kpi_pharmacy_consumption": [("store_transfer_detail", "trans_no")],
+    "general_ledger": [("gl_tran_detail", "voucher_no")],
+    "fund_general_ledger": [("pf_tran_detail", "voucher_no")],
+}
+
+
+@pytest.mark.parametrize("key", list(BOUNDED))
+def test_numbers_are_bounded_when_asked(tables, long_plans, key):
+    try:
+        tables.numbers_follow_time = True
+        plan = plan_of(REPORTS[key](tables, **entry_module.PARAMETERS.get(key, {})))
+    finally:
+        tables.numbers_follow_time = False
+    for table, number in BOUNDED[key]:
+        scans = [line for line in plan.splitlines() if "FileScan" in line and f"/{table}]" in line]
+        assert scans
+        for scan in scans:
+            assert re.search(rf"DataFilters: \[.*{number}#\d+L >= .*[Ss]ubquery", scan)
+
+
+@pytest.mark.parametrize("key", list(BOUNDED))
 def test_number_ranges_change_no_result(spark, small_dir, key):
     built = fixture_tables(spark, small_dir)
-    plain = rows_of(REPORTS[key](built, **entry_module.PARAMETERS[key]))
+    plain = rows_of(REPORTS[key](built, **entry_module.PARAMETERS.get(key, {})))
     built.numbers_follow_time = True
-    assert rows_of(REPORTS[key](built, **entry_module.PARAMETERS[key])) == plain
+    assert rows_of(REPORTS[key](built, **entry_module.PARAMETERS.get(key, {}))) == plain
 
 
 def hot_hospital(spark, lines: int) -> Tables:

@@ -20,9 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.functions.joins import join_reduced, within_range_of
+from wardbook.functions.joins import join_reduced
 from wardbook.functions.moments import Moment, from_until, last_days
 from wardbook.functions.predicates import matches_if_given
+from wardbook.operators.ranges import near
 from wardbook.sources.catalog import Tables
 
 # The description of the emergency location, which reports take
@@ -104,17 +105,6 @@ def bill_lines(tables: Tables) -> tuple[DataFrame, DataFrame]:
     return billed, returned
 
 
-def near(tables: Tables, rows: DataFrame, key: str, others: DataFrame) -> DataFrame:
-    """Rows with a key, cut to the number range of ``others`` where numbers follow time.
-
-    Then the documents of a date window lie close together, and the scan skips
-    the files and row groups of other times instead of shuffling all of them.
-    """
-    if tables.numbers_follow_time:
-        return within_range_of(rows, key, others, key)
-    return rows.where(F.col(key).isNotNull())
-
-
 def lines_of(
     tables: Tables, encounters: Encounters, met: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -146,12 +136,12 @@ def doctors(tables: Tables) -> DataFrame:
     )
 
 
-def typed_orders(tables: Tables, patient_type: Column) -> DataFrame:
-    """Orders with the description of their patient type."""
+def typed_orders(tables: Tables, patient_type: Column, placed: DataFrame) -> DataFrame:
+    """Orders with the description of their patient type, to be joined to ``placed`` on their number."""
     types = tables.patient_type.select(
         F.col("patient_type_id"), F.col("description").alias("patient_type")
     ).where(patient_type)
-    return tables.order_master.join(types, "patient_type_id")
+    return near(tables, tables.order_master, "order_no", placed).join(types, "patient_type_id")
 
 
 def patients(tables: Tables) -> DataFrame:
@@ -175,7 +165,7 @@ def stays(tables: Tables, admissions: DataFrame, filters: Filters | None) -> Dat
     )
     admitting = doctors(tables).where(by_doctor)
     return (
-        admissions.join(typed_orders(tables, by_type), ORDER)
+        admissions.join(typed_orders(tables, by_type, admissions), ORDER)
         .join(admitting, F.col("doctor_id") == F.col("__doctor"))
         .join(patients(tables), "mrno")
         .drop(*ORDER, "doctor_id", "__doctor", "patient_type_id", "reffering_inhouse_doctor_id")
@@ -221,7 +211,7 @@ def outpatient_encounters(
     tables: Tables, start: Moment, end: Moment, filters: Filters
 ) -> Encounters:
     """Documents without an admission, dated in the window, by referring doctor."""
-    orders = typed_orders(tables, matches_if_given(F.col("patient_type"), filters.patient_type))
+    by_type = matches_if_given(F.col("patient_type"), filters.patient_type)
     referring = doctors(tables).where(
         matches_if_given(F.col("doctor"), filters.name)
         & matches_if_given(F.col("department"), filters.department)
@@ -230,7 +220,7 @@ def outpatient_encounters(
         F.col("admission_no").isNull() & from_until(F.col("doc_date"), start, end)
     )
     met = (
-        candidates.join(orders, ORDER)
+        candidates.join(typed_orders(tables, by_type, candidates), ORDER)
         .join(referring, F.col("reffering_inhouse_doctor_id") == F.col("__doctor"))
         .join(patients(tables), "mrno")
         .select(
@@ -360,7 +350,7 @@ def recent_outpatients(tables: Tables, as_of: Moment | None) -> Encounters:
         F.col("admission_no").isNull() & last_days(F.col("doc_date"), as_of)
     )
     met = (
-        candidates.join(typed_orders(tables, F.lit(True)), ORDER)
+        candidates.join(typed_orders(tables, F.lit(True), candidates), ORDER)
         .join(
             doctors(tables),
             F.col("reffering_inhouse_doctor_id") == F.col("__doctor"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardbook.functions.columns import or_zero
 from wardbook.functions.predicates import not_in
+from wardbook.operators.ranges import near
 from wardbook.sources.catalog import Tables
 
 
@@ -25,7 +26,7 @@ def client_receipt_lines(tables: Tables, receipts: DataFrame) -> DataFrame:
     modes = tables.payment_mode.select(
         "payment_mode_id", F.col("description").alias("payment_mode")
     )
-    lines = tables.cash_receive_detail.select(
+    lines = near(tables, tables.cash_receive_detail, "receive_no", receipts).select(
         "receive_no",
         "payment_mode_id",
         "instrument_no",

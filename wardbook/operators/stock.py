@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardbook.functions.columns import or_zero
 from wardbook.functions.moments import Moment, from_until
 from wardbook.functions.predicates import like_pattern, not_in
+from wardbook.operators.ranges import near
 from wardbook.sources.catalog import Tables
 
 # Consumption move types, the store left out, the ledger type of
@@ -59,13 +60,15 @@ def transfers(tables: Tables, start: Moment, end: Moment, from_store: str) -> Da
         F.col("store_id").alias("to_store_id"), F.col("description").alias("to_store")
     )
     carriers = tables.vu_information.select(F.col("mrno").alias("delivered_by"))
+    dated = tables.store_transfer_master.where(from_until(F.col("approved_date"), start, end))
     approved = (
-        tables.store_transfer_master.where(from_until(F.col("approved_date"), start, end))
-        .join(sources, "from_store_id")
+        dated.join(sources, "from_store_id")
         .join(targets, "to_store_id")
         .join(carriers, "delivered_by")
     )
-    lines = tables.store_transfer_detail.where(F.col("transaction_type_id") == TRANSFER)
+    lines = near(tables, tables.store_transfer_detail, "trans_no", dated).where(
+        F.col("transaction_type_id") == TRANSFER
+    )
     cost = F.col("moving_average_cost")
     return lines.join(approved, "trans_no").select(
         "trans_no",

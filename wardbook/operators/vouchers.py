@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardbook.functions.moments import Moment, from_until, start_of_day
 from wardbook.functions.predicates import like_pattern
+from wardbook.operators.ranges import near
 from wardbook.sources.catalog import Tables
 
 # Statuses of posted vouchers.
@@ -37,7 +38,10 @@ def voucher_lines(
     end: Moment,
     sub_ledger_join: str,
 ) -> DataFrame:
-    """Lines of vouchers posted in [start, end) with account and sub-ledger names."""
+    """Lines of vouchers posted in [start, end) with account and sub-ledger names.
+
+    A bound on the numbers covers all voucher types at once; the join tells them apart.
+    """
     posted = masters.where(
         from_until(F.col("trans_date"), start, end) & F.col("voucher_status").isin(POSTED)
     ).select(
@@ -47,7 +51,8 @@ def voucher_lines(
         F.col("remarks").alias("voucher_remarks"),
     )
     return (
-        details.drop("trans_date")
+        near(tables, details, "voucher_no", posted)
+        .drop("trans_date")
         .join(posted, VOUCHER)
         .join(accounts(tables), "coa_code")
         .join(sub_ledgers(tables), SUB_LEDGER, sub_ledger_join)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardbook.functions.columns import in_order, look_up, money, or_zero
 from wardbook.functions.moments import Moment, from_until, last_days
+from wardbook.operators.ranges import near
 from wardbook.operators.receipts import client_receipt_lines, unrefunded
 from wardbook.operators.receivables import (
     CLIENT_INVOICE_TYPES,
@@ -205,8 +206,10 @@ def card_receipts(
     receipts = tables.cash_receive_master.where(
         from_until(F.col("receive_date"), start, end)
     ).select("receive_date", "sale_id", "invoice_no", "receive_no")
-    lines = tables.cash_receive_detail.where(F.col("payment_mode_id") == payment_mode).select(
-        "receive_no", "amount", "instrument_no", "validity_date", "merchant_id"
+    lines = (
+        near(tables, tables.cash_receive_detail, "receive_no", receipts)
+        .where(F.col("payment_mode_id") == payment_mode)
+        .select("receive_no", "amount", "instrument_no", "validity_date", "merchant_id")
     )
     rows = (
         receipts.join(lines, "receive_no")

@@ -42,9 +42,9 @@ class Tables:
     """Lazy catalog of source tables, reached as attributes or by name.
 
     Set ``numbers_follow_time`` to True on a catalog whose document and
-    admission numbers are given out in sequence.  The revenue reports then
-    bound the numbers they look for before they scan, which pays on large
-    tables.  It never changes a result, whatever the numbers are like.
+    admission numbers are given out in sequence.  Reports on a window of time
+    then bound the numbers they look for before they scan lines and orders,
+    which pays on large tables.  It never changes a result, whatever the numbers are like.
     """
 
     numbers_follow_time = False
