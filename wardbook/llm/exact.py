@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.llm.support import keyed, table, written
@@ -13,7 +13,15 @@ BUCKET_KEYS = 1 << 16
 """Distinct keys a bucket holds before it is split."""
 
 
-def _address(depth: int):
+def _key(text: Column, hash_bits: int) -> Column:
+    """The key of a text: 64 bits, or fewer in the upper part, so that different texts collide."""
+    key = F.xxhash64(text)
+    if hash_bits == 64:
+        return key
+    return key.bitwiseAND(F.lit((1 << hash_bits) - 1)) * F.lit(1 << (63 - hash_bits))
+
+
+def _address(depth: int) -> Column:
     """The first ``depth`` bits of the 16-bit address of a key."""
     return F.expr(f"cell >> {DEPTH_LIMIT - depth}")
 
@@ -52,9 +60,7 @@ def index(docs: DataFrame, bucket_keys: int = BUCKET_KEYS, hash_bits: int = 64)
     holds a third of all rows spreads over many owner tasks.
     """
     text = F.coalesce("text", F.lit(""))
-    key = F.xxhash64(text)
-    key = key if hash_bits == 64 else key.bitwiseAND(F.lit((1 << hash_bits) - 1)) * F.lit(1 << (63 - hash_bits))
-    entries = written(docs.select(key.alias("key"), F.col("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest")))
+    entries = written(docs.select(_key(text, hash_bits).alias("key"), "doc_id", F.unhex(F.sha2(text, 256)).alias("digest")))
     cell = F.shiftrightunsigned("key", 64 - DEPTH_LIMIT)
     cells = written(entries.select("key").distinct().groupBy(cell.alias("cell")).agg(F.count("*").alias("keys")))
     pages = directory(cells, bucket_keys)
@@ -85,9 +91,7 @@ def exact_duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS, hash_bits:
     entries = index(docs, bucket_keys, hash_bits)
     chains = written(entries.groupBy("key").count().filter("count > 1").select("key"))
     text = F.coalesce("text", F.lit(""))
-    key = F.xxhash64(text)
-    key = key if hash_bits == 64 else key.bitwiseAND(F.lit((1 << hash_bits) - 1)) * F.lit(1 << (63 - hash_bits))
-    chained = keyed(docs.select(key.alias("key"), "doc_id", text.alias("text")), chains, "left_semi")
+    chained = keyed(docs.select(_key(text, hash_bits).alias("key"), "doc_id", text.alias("text")), chains, "left_semi")
     links = written(
         chained.groupBy("key", "text")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))

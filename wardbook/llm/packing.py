@@ -190,7 +190,8 @@ def sequences(docs: DataFrame, places: DataFrame, vocabulary: str = PACKING_VOCA
             read, "doc_id long, start long, length long, sequence_id long, offset long, ids array<long>"
         )
         .groupBy("sequence_id")
-        .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])).alias("ids"))
+        .agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+        .select("sequence_id", F.flatten("pieces.ids").alias("ids"))
     )
 
 

@@ -208,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> T
     )
     texts = keyed(docs.select("doc_id", "text"), chosen.select("doc_id"), "left_semi", train_rows)
     known = written(texts.join(chosen, "doc_id").select("text", "label", "fold"))
-    classes = {(r["label"], r["later"]): r["n"] for r in known.groupBy("label", (F.col("fold") > 1).alias("later")).agg(F.count("*").alias("n")).collect()}
+    counts = known.groupBy("label", (F.col("fold") > 1).alias("later")).agg(F.count("*").alias("n")).collect()
+    classes = {(r["label"], r["later"]): r["n"] for r in counts}
     total = sum(classes.values())
     prior = sum(n for (label, _), n in classes.items() if label) / total if total else 0.0
     if not all(classes.get((label, True)) for label in (0.0, 1.0)):
