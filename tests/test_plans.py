@@ -295,3 +295,51 @@ def test_one_invoice_with_a_third_of_the_lines_is_split(spark, no_broadcast):
         plan = plan_of(report)
     assert found == [(2000, 2 * lines)]
     assert "skew=true" in plan and "skewed" in plan
+
+
+def test_details_without_a_letter_are_dealt_out_by_invoice(spark, no_broadcast):
+    """Half of the details have no letter: they meet nothing, and do not gather under one key."""
+    invoices = 400
+    finals = spark.range(1, invoices + 1).selectExpr(
+        "id as final_invoice_no",
+        "if(id % 2 = 0, id - 1, id) as client_invoice_no",
+        "'c1' as client_id",
+        "id as mrno",
+        "7L as process_id",
+        "timestamp_ntz '2024-01-10' as final_invoice_date",
+        "if(id % 2 = 0, 'I', 'R') as final_invoice_type",
+        "10 as net_receivable",
+        "1 as received_amount",
+        "if(id % 4 = 0, id, null) as admission_no",
+        "timestamp_ntz '2024-01-08' as admission_date",
+    )
+    details = spark.range(1, invoices * 20 + 1).selectExpr(
+        "7L as process_id",
+        "'c1' as client_id",
+        f"if((id % {invoices}) % 2 = 0, id % {invoices} - 1, id % {invoices}) as final_invoice_no",
+        f"id % {invoices} as mrno",
+        "if(id % 2 = 0 and id % 3 = 0, 5L, null) as ref_letter_no",
+        f"if((id % {invoices}) % 4 = 0, id % {invoices}, null) as admission_no",
+    )
+    frames = {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
+    frames |= {
+        "final_invoice_master": finals,
+        "pbs_tran_detail_corporate": details,
+        "ref_letter_master": spark.range(5, 9).selectExpr(
+            "id as ref_letter_no",
+            "concat('L', id) as client_ref_no",
+            "id as mrno",
+            "timestamp_ntz '2024-01-01' as trans_date",
+        ),
+        "client": spark.sql("select 'c1' as client_id, 'Payer' as name"),
+        "v_patient": finals.selectExpr("mrno", "concat('P', mrno) as name", "'' as nic_new"),
+    }
+    report = REPORTS["debtor_aging_open"](Tables.from_frames(frames), cutoff="2023-01-01")
+    rows = report.where(F.col("final_invoice_type") == "I").collect()
+    assert len(rows) == invoices // 2
+    with_details = [row for row in rows if row["mrno"] != invoices]
+    assert all(row["ref_letter_no"] == "L5" for row in with_details)
+    assert all((row["admission_no"] is not None) == (row["mrno"] % 4 == 0) for row in with_details)
+    plan = plan_of(report)
+    assert re.search(r"Exchange hashpartitioning\(letter#", plan)
+    assert not re.search(r"Exchange hashpartitioning\(ref_letter_no#", plan)
