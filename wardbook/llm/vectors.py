@@ -148,13 +148,19 @@ def near_vectors(
             f"k1 long, k2 long, embedding {kind}, low long, size long, cell int, home boolean",
         )
     )
-    chunks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))
+    at_home = F.count(F.when(F.col("home"), 1))
+    chunks = placed.groupBy("cell").agg(
+        F.ceil(at_home / block_rows).cast("int").alias("homes"),
+        F.ceil((F.count("*") - at_home) / block_rows).cast("int").alias("guests"),
+    )
+    # Chunks of those at home meet each other and the chunks of guests, which come after them.
     blocks = (
         placed.join(F.broadcast(chunks), "cell")  # a row for each pivot and dimension
-        .withColumn("chunk", F.expr("cast(pmod(k2, chunks) as int)"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .filter("homes > 0")
+        .withColumn("chunk", F.expr("cast(if(home, pmod(k2, homes), homes + pmod(k2, guests)) as int)"))
+        .withColumn("other", F.explode(F.expr("sequence(0, if(home, homes + guests, homes) - 1)")))
         .withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
-        .drop("other", "chunks")
+        .drop("other", "homes", "guests")
     )
     found = written(
         blocks.groupBy("cell", "a", "b").applyInPandas(
