@@ -2,11 +2,11 @@
 
 Both substring operators stand on this. Every window has an anchor: of the seeds
 (shorter windows) inside it the one with the smallest hash, so equal windows have equal
-anchors at the same place. Successive windows with one anchor form a run, and a run
-is a tenth (bytes) or a quarter (words) as many rows as its windows. Then, all
-messages being packed by sender and receiver:
+anchors at the same place. Successive windows with one anchor form a run; there are about
+fifteen windows to a run of bytes, and four to a run of words. Then, all messages being
+packed by sender and receiver:
 
-1. Parts (a few MB of documents each) tell each seed bucket which seeds they have, and learn which
+1. Parts (4 MB of documents each) tell each seed bucket which seeds they have, and learn which
    of them other documents have too. A window without such a seed is unique.
 2. Parts send each different run with such a seed, as text, with its smallest document, to
    the run's bucket. The bucket compares texts and answers which windows of the run start in a smaller document.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from wardbook.llm.support import parts_for, text_bytes
 
 PART = "__part"
-PART_BYTES = 8_000_000
+PART_BYTES = 4_000_000
 GIANT = 100_000
 """Runs of one seed, in all documents, from which on its windows are dealt out one by one."""
 _BATCH_BYTES = 1 << 20
@@ -355,9 +355,10 @@ def compare_runs(messages: pd.DataFrame, window_minima: Callable) -> pd.DataFram
 
 
 def covered(batches: list[Batch], shared: Shared, entries: Entries, answers: pd.DataFrame, unit: Unit) -> Iterator[tuple]:
-    """``(row, text or None, covered)`` of every row: which of its elements lie in a window of a smaller document.
+    """``(row, elements, place, covered)`` of every row of a part.
 
-    With it come the batch's elements and the row's place among them.
+    ``covered`` says which of the row's elements lie in a window that also starts in a smaller
+    document; ``place`` is where they lie among the batch's ``elements``.
     """
     masks = np.frombuffer(b"".join(answers.sort_values("bucket")["masks"]), "<u4")
     assert len(masks) == len(entries.text), "these answers belong to another part"
