@@ -115,8 +115,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
     first = (block == 0) | (distance(_side(ca, 0), _side(cb, 0)) > 2)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    # Spark takes the grid for as small as the fingerprints it is made from, and would broadcast it.
     return (
-        left.join(right, "cell")
+        left.join(right.hint("merge"), "cell")
         .filter((F.col("a") < F.col("b")) & near & (distance(ca, cb) <= max_bits) & meets & first)
         .select("a", "b")
     )
