@@ -204,3 +204,128 @@ def test_licence_rules(made_docs):
     assert found[2]["n_sentences"] == found[3]["n_sentences"] == 0 and found[43]["licences"] == ""
     assert licences.licences(made_docs([])).count() == 0
     assert {i for _, ids in licences.RULES for i in ids} <= set(licences.SENTENCES)
+
+
+APACHE_HEADER = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+GPL3_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+BSD_FILE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+ISC_FILE = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
+
+HEADERS = [
+    ("Apache-2.0", APACHE_HEADER),
+    ("Apache-2.0", APACHE_HEADER.replace("http:", "https:")),
+    ("MIT", MIT_FILE),
+    ("MIT", MIT_FILE.replace("MIT License", "The MIT License (MIT)")),
+    ("MIT", MIT_FILE.split("\n", 4)[4]),
+    ("GPL-3.0-or-later", GPL3_HEADER),
+    (
+        "GPL-2.0-or-later",
+        GPL3_HEADER.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2"),
+    ),
+    ("BSD-2-Clause", BSD_FILE),
+    (
+        "BSD-3-Clause",
+        BSD_FILE + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or"
+        " promote products derived from\n   this software without specific prior written permission.\n",
+    ),
+    (
+        "BSD-3-Clause",
+        BSD_FILE + "\n   * Neither the name of Somebody Inc. nor the names of its\n   contributors may be used to endorse or"
+        " promote products derived from\n   this software without specific prior written permission.\n",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not"
+        " distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    ("ISC", ISC_FILE),
+    ("ISC", ISC_FILE.replace("and/or", "and")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy"),
+    ("Apache-2.0", "Licensed under the\nApache License, Version 2.0."),
+    ("MIT", "Released under\nthe MIT License; see LICENSE"),
+    ("GPL-3.0-only", "This work is licensed under the\nGNU General Public License,\nVersion 3."),
+    ("GPL-2.0-only", "Licensed under the GNU General Public License,\nVersion 2."),
+    *((f"CC-{k}-4.0", f"Licensed under\nCC {k} 4.0.") for k in ("BY", "BY-NC", "BY-SA", "BY-NC-SA")),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+]
+
+
+@pytest.mark.parametrize("prefix", ["", "// ", "# ", " * ", "-- ", "; ", "dnl ", "REM ", ".. ", None])
+def test_standard_headers(made_docs, prefix):
+    """As they are, on one line (None), or behind a comment sign on each line."""
+    rows = []
+    for i, (_, text) in enumerate(HEADERS):
+        lines = text.split("\n")
+        made = " ".join(text.split()) if prefix is None else "\n".join(prefix + line for line in lines)
+        rows.append((i, f"import this\n\n{made}\n\nSome code"))
+    found = {r["doc_id"]: r["licences"] for r in licences.licences(made_docs(rows)).collect()}
+    assert [(found[i], text) for i, (_, text) in enumerate(HEADERS)] == HEADERS
+
+
+def test_no_licence_in_other_texts(made_docs):
+    rows = [
+        (1, "This is not licensed under CC BY 4.0."),
+        (2, "You may not use this file except in compliance with the License.\nThe CDDL says so."),
+        (3, "Licensed under the. MIT License."),
+        (4, "Licensed under the\n\nMIT License"),
+        (5, "This work is licensed under the GNU General Public License, Version 3 or later."),
+    ]
+    assert {r["licences"] for r in licences.licences(made_docs(rows)).collect()} == {""}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.llm.support import table
@@ -88,40 +90,80 @@ RULES = [
     ("Unlicense", ["unlicense"]),
 ]
 
+# Sentences and rules beyond those of the SQL below, which stays as it was given; tried after ``RULES``. "You may not use
+# this file except in compliance with the License" has none, as the CDDL, the ECL and the EUPL have it too.
+VARIANTS = {
+    "isc-grant-and": "permission to use copy modify and distribute this software for any purpose with or without fee is"
+    " hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+}
+LONE_RULES = [
+    ("Apache-2.0", ["apache-comply", "apache-copy", "apache-asis", "apache-see"]),
+    ("Apache-2.0", ["apache-copy"]),
+    ("MIT", ["mit-grant"]),
+    ("ISC", ["isc-grant-and"]),
+]
+
+# Short sentences, which have to stand alone; the others are found within any text.
+NOTICES = {i for i in SENTENCES if re.search("notice|licensed|title|^cc", i)}
+
 _CONTINUED = r"\n[ \t\r]*([a-z(])"
 _BREAK = r"[.!?:]+[ \t\r\n]+|\n+"
 _NOISE = "[^a-z0-9]+"
+_END = r"(?<![\n.!?:])[.!?:]+[ \t\r\n]+|\n[ \t\r\n]*\n"
+_COMMENT = "(?:(?:rem|dnl) )?"
+_HOLDER = "neither the name of .* nor the names of its contributors"
 
 
 def _marks(ids: list[str]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
+def _pattern() -> str:
+    """All known sentences in words between ``|`` (a stop, a colon or a blank line), ``~`` (a line's end) and ``^`` (``;``)."""
+    alone, within = [], []
+    for i, s in sorted((SENTENCES | VARIANTS).items(), key=lambda x: -len(x[1])):
+        gap = ("[ ~^]+" if i in NOTICES or i == "apache-the" else "[ ~^|]+") + _COMMENT
+        words = [{"http": "https?"}.get(w, w) for w in s.split()]
+        words = gap.join(words).replace(gap.join("the copyright holder".split()), "[a-z0-9 ~^|]{1,120}?")
+        (alone if i in NOTICES else within).append(words)
+    return f"(?<![a-z0-9])(?:(?:{'|'.join(within)})(?![a-z0-9])|(?<=[|~^] ?{_COMMENT})(?:{'|'.join(alone)})(?= ?[|~^]))"
+
+
 def licences(docs: DataFrame) -> DataFrame:
     """``doc_id, n_sentences, sentence_ids, licences, unruled`` for every row.
 
     A line that starts in lower case or with a bracket continues the one before.
-    Sentences end at a stop, a colon or a line's end, and are compared in lower case,
-    letters and digits only. ``sentence_ids`` are the known ones in order, as
-    ``<id>``. Rules are tried in their order; what a rule matches, in consecutive known
+    ``n_sentences`` counts sentences up to a stop, a colon or a line's end. Known
+    sentences are compared in lower case, letters and digits only. Those of a licence's
+    own text are found however they are wrapped, commented or punctuated, also with
+    other text on the same line. ``NOTICES`` may be wrapped, but not run over a stop or a
+    blank line, and have to lie between two of stops, colons, semicolons and lines' ends.
+    The holder's name in ``bsd-names`` is free. ``sentence_ids`` are the known ones in order,
+    as ``<id>``. Rules are tried in their order; what a rule matches, in consecutive known
     sentences and wherever it occurs, is taken out before the next one.
     ``licences`` lists the licences of the rules that matched, sorted, each once;
     ``unruled`` are known sentences that no rule took. A null or empty text has
     none; rows are independent of each other, and other columns are not read.
     """
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), _CONTINUED, " $1")
-    sentences = F.filter(
-        F.transform(F.split(text, _BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), _NOISE, " "))),
-        lambda s: s != "",
-    )
-    known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, f"<{i}>")))
-    found = docs.select("doc_id", sentences.alias("sentences")).select(
+    text = F.translate(F.coalesce("text", F.lit("")), "|~^", ",,,")
+    text = F.lower(F.regexp_replace(text, _CONTINUED, " $1"))
+    text = F.regexp_replace(F.regexp_replace(text, _END, "|"), r"\n+", "~")
+    text = F.regexp_replace(F.regexp_replace(text, r";(?=[ \t\r|~])", "^"), "[^a-z0-9|~^]+", " ")
+    words = F.concat(F.lit("|"), text, F.lit("|"))
+    known = F.create_map(*(F.lit(x) for i, s in (SENTENCES | VARIANTS).items() for x in (s, f"<{i}>")))
+    holder = re.sub(r"\.\*", "the copyright holder", _HOLDER)
+
+    def mark(match: Column) -> Column:
+        plain = F.replace(F.regexp_replace(match, f"[ ~^|]+{_COMMENT}", " "), F.lit(" https "), F.lit(" http "))
+        return F.try_element_at(known, F.regexp_replace(plain, _HOLDER, holder))
+
+    found = docs.select("doc_id", words.alias("words")).select(
         "doc_id",
-        F.size("sentences").cast("long").alias("n_sentences"),
-        F.array_join(F.transform("sentences", lambda s: F.try_element_at(known, s)), "").alias("sentence_ids"),
+        F.regexp_count("words", F.lit("[a-z0-9][a-z0-9 ^]*")).cast("long").alias("n_sentences"),
+        F.array_join(F.transform(F.regexp_extract_all("words", F.lit(_pattern()), F.lit(0)), mark), "").alias("sentence_ids"),
     )
     rest, hits = F.col("sentence_ids"), []
-    for licence, ids in RULES:
+    for licence, ids in RULES + LONE_RULES:
         hits.append(F.when(F.contains(rest, F.lit(_marks(ids))), F.lit(licence)))
         rest = F.replace(rest, F.lit(_marks(ids)), F.lit("|"))
     names = F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))), ",")
