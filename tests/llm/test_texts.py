@@ -329,3 +329,32 @@ def test_no_licence_in_other_texts(made_docs):
         (5, "This work is licensed under the GNU General Public License, Version 3 or later."),
     ]
     assert {r["licences"] for r in licences.licences(made_docs(rows)).collect()} == {""}
+
+
+def words_of(alphabet, n, seed):
+    rng = np.random.default_rng(seed)
+    known = ["".join(rng.choice(list(alphabet), 5)) for _ in range(30)]
+    return " ".join(rng.choice(known, n))
+
+
+def test_languages_of_few_long_texts_are_learned(made_docs):
+    """Language bb lies in three long texts; cc has one giant text of other words, which must not crowd out its ordinary ones."""
+    rows = [(i, words_of("abcdefgh", 30, 1), "aa") for i in range(200)]
+    learned = [i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 4 != language.HELD_OUT]
+    rows += [(i, words_of("abcdefgh", 8000, 2), "bb") for i in learned[:3]]
+    rows += [(400 + i, words_of("abcdefgh", 30, 3), "cc") for i in range(60)]
+    rows += [(learned[3], words_of("abcdefgh", 200_000, 4), "cc"), (learned[4], "", "dd")]
+    docs = made_docs([]).sparkSession.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, language_bytes=4000)
+    assert model.languages == ["aa", "bb", "cc"]
+    assert [model.predict(words_of("abcdefgh", 100, n))[0] for n in (1, 2, 3)] == ["aa", "bb", "cc"]
+
+
+def test_long_texts_are_learned_in_bounded_slices(made_docs):
+    text = words_of("abcdefgh", 3000, 5)
+    cut = made_docs([(1, text), (2, "short")]).select("doc_id", language._slices(language.F.col("text"), 1600).alias("s"))
+    found = {r["doc_id"]: [bytes(x) for x in r["s"]] for r in cut.collect()}
+    assert found[2] == [b"short"] and len(found[1]) == language.SLICES
+    data = text.encode()
+    assert found[1][0] == data[:100] and found[1][-1] == data[-104:]
+    assert all(len(x) == 104 and x in data for x in found[1][1:])

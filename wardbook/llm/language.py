@@ -16,7 +16,13 @@ from wardbook.llm.support import table
 ORDER = 4
 """Bytes of context of the deepest nodes; an event is a context and the byte after it, in the low bytes of a number."""
 LANGUAGE_BYTES = 2_000_000
-"""Bytes of text learned from for each language, about; whole documents, chosen by a hash of their id."""
+"""Bytes of text learned from for each language, about; documents in the order of a hash."""
+LEAST_DOCUMENTS = 16
+"""Documents learned from at least, where a language has them: of each, one in so many parts of the language's bytes counts."""
+SLICES = 16
+"""Evenly spaced slices that are learned of a text longer than that."""
+STEPS = 16
+"""Steps in which the hash's range is halved."""
 TOTAL_BYTES = 128_000_000
 """Bytes learned from for all languages together, about."""
 FOLDS = 4
@@ -142,6 +148,18 @@ def fold(ids: Column) -> Column:
     return F.pmod(F.crc32(ids.cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
 
 
+def _slices(text: Column, most: int) -> Column:
+    """The bytes of a text; of one over ``most`` about so many, in slices, all but the first after the ``ORDER`` bytes before them."""
+    data, long, part = text.cast("binary"), F.octet_length(text).cast("long"), max(1, most // SLICES)
+
+    def at(i: Column) -> Column:
+        start = F.floor(i * (long - part) / (SLICES - 1)).cast("int")
+        return F.substring(data, F.greatest(start - ORDER, F.lit(0)) + 1, F.lit(part + ORDER))
+
+    slices = F.transform(F.sequence(F.lit(1), F.lit(SLICES - 1)), at)
+    return F.when(long <= most, F.array(data)).otherwise(F.concat(F.array(F.substring(data, F.lit(1), F.lit(part))), slices))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -162,36 +180,49 @@ class LanguageModel:
 def train(docs: DataFrame, language_bytes: int = LANGUAGE_BYTES, total_bytes: int = TOTAL_BYTES) -> LanguageModel:
     """Context trees of every language of documents outside the held-out fold.
 
-    Whole documents are sampled by a hash of their id so that each language comes to
-    about ``language_bytes``, and all to about ``total_bytes``; what is collected is
-    bounded by them. Counting is a Spark aggregation.
+    Each language takes its documents in the order of a hash of id and text until they
+    come to ``language_bytes``, or to its part of ``total_bytes`` where there are many
+    languages; the last step of hashes, about 4 % of that, is taken whole. Of a text only
+    ``LEAST_DOCUMENTS``-th of these bytes count: a longer one gives evenly spaced slices. So
+    every language with a text that is not empty is learned, from ``LEAST_DOCUMENTS``
+    documents at least or from all it has. Counting is a Spark aggregation; what is
+    collected is bounded by the bytes and, per language, the steps of the hash.
     """
-    usable = docs.filter("lang is not null and text is not null").filter(
+    usable = docs.filter("lang is not null and text != ''").filter(
         F.coalesce(fold(F.col("doc_id")) != HELD_OUT, F.lit(True))
     )
-    sizes = usable.groupBy("lang").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
     if not languages:
         return LanguageModel([], [])
-    each = min(language_bytes, total_bytes // len(languages))
-    share = {r["lang"]: min(1.0, each / max(1, r["bytes"])) for r in sizes}
+    each = max(1, min(language_bytes, total_bytes // len(languages)))
+    most = max(1, each // LEAST_DOCUMENTS)
     number = {name: i for i, name in enumerate(languages)}
+    place = (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) + 1) / float(1 << 53)
+    stepped = usable.select("lang", "text", F.floor(F.log2(place) * STEPS).cast("int").alias("step"))
+    size = F.least(F.octet_length("text"), F.lit(most)).cast("long")
+    steps = stepped.groupBy("lang", "step").agg(F.sum(size).alias("bytes")).collect()
+    taken: dict[str, int] = dict.fromkeys(languages, 0)
+    last: dict[str, int] = {}
+    for r in sorted(steps, key=lambda r: r["step"]):
+        if taken[r["lang"]] < each:
+            taken[r["lang"]] += r["bytes"]
+            last[r["lang"]] = r["step"]
+    cuts = docs.sparkSession.createDataFrame(list(last.items()), "lang string, last int")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            picked = [
-                (lang, text)
-                for lang, text, place in zip(batch["lang"], batch["text"], batch["place"], strict=True)
-                if place < share[lang]
-            ]
-            for lang in sorted({lang for lang, _ in picked}):
-                found = np.concatenate([events(t.encode()) for name, t in picked if name == lang])
-                event, n = np.unique(found, return_counts=True)
+            by_language: dict[str, list[np.ndarray]] = {}
+            for lang, slices in zip(batch["lang"], batch["slices"], strict=True):
+                learned = [events(t)[ORDER if i else 0 :] for i, t in enumerate(slices)]
+                by_language.setdefault(lang, []).extend(learned)
+            for lang, found in sorted(by_language.items()):
+                event, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pd.DataFrame({"language": number[lang], "event": event.astype(np.int64), "n": n.astype(np.int64)})
 
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.octet_length("text")), 11) / float(1 << 53)
     counts = (
-        usable.select("lang", "text", place.alias("place"))
+        stepped.join(F.broadcast(cuts), "lang")
+        .filter("step <= last")
+        .select("lang", _slices(F.col("text"), most).alias("slices"))
         .mapInPandas(count, "language int, event long, n long")
         .groupBy("language", "event")
         .agg(F.sum("n").alias("n"))
@@ -204,7 +235,8 @@ def language_id(docs: DataFrame, language_bytes: int = LANGUAGE_BYTES) -> DataFr
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
     Only the text decides. ``und`` with score 0 stands for a null text or one without a
-    letter, and for everything where nothing could be learned. Rows that repeat a
+    letter, and for everything where nothing could be learned. Learning is from a bounded
+    sample of every language (see ``train``); prediction reads whole texts. Rows that repeat a
     ``doc_id`` are predicted each; a null ``doc_id`` is never held out. Extra
     columns are not used.
     """
