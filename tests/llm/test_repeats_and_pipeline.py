@@ -195,3 +195,21 @@ def test_queries_are_registered(spark, small_dir):
 
 def in_id_order(frame):
     return in_order(frame, "doc_id")
+
+
+def test_rows_without_an_id_or_of_one_id_spread(made_docs):
+    """Rows without an id go into no part; those of one id into several."""
+    rows = [(None, f"{i} {REPEAT}") for i in range(100)] + [(7, f"{i} {REPEAT}") for i in range(100)] + EXTRA
+    docs = made_docs(rows)
+    same(substrings.suffix_dedup(docs, part_bytes=2000), brute_bytes(rows))
+    same(passages.passage_dedup(docs, part_bytes=2000), brute_words(rows))
+    kept = sorted(r["text"] for r in passages.without_passages(docs, part_bytes=2000).collect() if r["doc_id"] is None)
+    assert kept == sorted(t for d, t in rows if d is None)
+
+    def finish(frame, _):
+        return frame[["doc_id"]].astype({"doc_id": "Int64"}).assign(rows=len(frame), dealt=repeats.PART in frame)
+
+    found = repeats.remove_repeats(docs, passages.WORDS, None, passages.edge_minima, finish, "doc_id long, rows long, dealt boolean", 2000)
+    parts = found.collect()
+    assert len(parts) == len(rows) and not any(r["dealt"] for r in parts if r["doc_id"] is None)
+    assert max(r["rows"] for r in parts if r["doc_id"] == 7) < 50

@@ -15,6 +15,9 @@ packed by sender and receiver:
 
 A part sends a run once, however many of its documents hold it, and a bucket gets it once from
 each part, so a passage that a third of all documents share costs a row for each part.
+
+Rows without an id take no part and go round all exchanges. Parts are dealt by id and text: rows of one id take
+nothing from each other, so they need not meet. Only rows equal in both lie in one part, however many they are.
 """
 
 from __future__ import annotations
@@ -378,6 +381,14 @@ def covered(batches: list[Batch], shared: Shared, entries: Entries, answers: pd.
             yield row, batch.elements, slice(high - size, high), removed[high - size : high]
 
 
+def untouched(frame: pd.DataFrame, unit: Unit) -> Iterator[tuple]:
+    """What ``covered`` says of rows that lose nothing."""
+    for batch in batches_of(frame, unit):
+        end = np.cumsum(batch.elements.lengths)
+        for row, high, size in zip(batch.rows.tolist(), end.tolist(), batch.elements.lengths.tolist(), strict=True):
+            yield row, batch.elements, slice(high - size, high), np.zeros(size, bool)
+
+
 def remove_repeats(
     docs: DataFrame,
     unit: Unit,
@@ -397,12 +408,12 @@ def remove_repeats(
     """
     if unit.window - unit.seed + 1 > 32:
         raise ValueError("a run's windows have to fit into 32 bits")
-    parts = parts_for(text_bytes(docs), part_bytes)
+    parts = parts_for(text_bytes(docs.filter("doc_id is not null")), part_bytes)
     bits = (parts - 1).bit_length()
     buckets = parts
     at = place(buckets) if place else lambda seed: xxhash.xxh3_64_intdigest(seed) % buckets
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
-    dealt = docs.select("doc_id", "text", *carry, part.alias(PART))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    dealt = docs.filter("doc_id is not null").select("doc_id", "text", *carry, part.alias(PART))
 
     def second(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         batches = batches_of(frame, unit)
@@ -431,4 +442,9 @@ def remove_repeats(
     answers = flags.withColumn("masks", F.lit(None).cast("binary")).unionByName(
         masks.withColumn("flags", F.lit(None).cast("binary"))
     )
-    return dealt.groupBy(PART).cogroup(answers.groupBy("part")).applyInPandas(third, schema)
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield finish(frame, untouched(frame, unit))
+
+    unknown = docs.filter("doc_id is null").select("doc_id", "text", *carry).mapInPandas(alone, schema)
+    return dealt.groupBy(PART).cogroup(answers.groupBy("part")).applyInPandas(third, schema).union(unknown)

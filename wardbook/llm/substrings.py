@@ -34,8 +34,9 @@ BYTES = Unit(split_bytes, WINDOW, SEED)
 
 def splitters(docs: DataFrame, buckets: int) -> list[bytes]:
     """Leading bytes that cut a sample of suffixes into ``buckets`` ranges; the sample has a fixed bound."""
+    docs = docs.filter("doc_id is not null")
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
 
     def sample(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
