@@ -1,4 +1,4 @@
-"""Substring dedup of words: a de Bruijn graph of word 13-mers, compacted into paths before anything is compared."""
+"""Substring dedup of words: runs of 13-word windows with one anchor, compared where their anchors are shared."""
 
 from __future__ import annotations
 
@@ -88,10 +88,9 @@ def passage_dedup(docs: DataFrame, part_bytes: int = PART_BYTES, giant: int = GI
     repeat a ``doc_id`` take nothing from each other; rows without one are kept whole,
     and remove nothing. Other columns are not read.
 
-    Windows are the edges of a de Bruijn graph. Successive edges with one anchor travel as a
-    compacted path. Joined by anchor, a path whose anchor has one context does not branch
-    and is decided whole; branching ones are unrolled into edges. The answers are joined
-    back to the coordinates in the source, where adjoining paths become long spans.
+    Successive windows with one anchor travel as a run; there is no graph of edges and nodes. Joined
+    by anchor, a run whose anchor has one context is decided whole; of others the windows
+    are compared one by one. The answers are joined back to the places in the source.
     """
 
     def finish(frame: pd.DataFrame, found: Iterator[tuple]) -> pd.DataFrame:
