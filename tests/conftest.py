@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import contextlib
 import os
 import sys
 from datetime import datetime
@@ -98,25 +97,3 @@ def world(spark, made):
         return Tables(load, empty_as_null=empty_as_null)
 
     return build
-
-
-@contextlib.contextmanager
-def settings(spark, **pairs):
-    names = {name.replace("__", "."): value for name, value in pairs.items()}
-    before = {name: spark.conf.get(name, None) for name in names}
-    for name, value in names.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
-
-
-def rows_of(frame, *columns):
-    """Rows as tuples, of the given columns or all, sorted without regard to NULLs."""
-    picked = frame.select(*columns) if columns else frame
-    return sorted((tuple(row) for row in picked.collect()), key=lambda row: [str(v) for v in row])

@@ -9,7 +9,7 @@ import pytest
 
 from wardbook.operators.billing import EMERGENCY
 from wardbook.plans import revenue
-from conftest import rows_of
+from helpers import rows_of
 
 WINDOW = ("2024-01-01", "2024-02-01")
 AS_OF = "2024-01-31"

@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import rows_of
+from helpers import rows_of
 from wardbook.operators.stock import EXCLUDED_STORE
 from wardbook.plans import dashboard, donations, ledger, payroll, stock
 

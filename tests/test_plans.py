@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from conftest import rows_of, settings
+from helpers import rows_of, settings
 from wardbook.operators.billing import EMERGENCY
 from wardbook.plans import ledger, revenue
 from wardbook.plans.registry import REPORTS

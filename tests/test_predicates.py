@@ -7,7 +7,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of, settings
+from helpers import rows_of, settings
 from wardbook.functions.joins import join_reduced
 from wardbook.functions.columns import in_order, look_up
 from wardbook.functions.moments import (

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import rows_of
+from helpers import rows_of
 from wardbook.plans import receivables
 
 CLIENTS = [{"client_id": "c1", "name": "Payer"}]

@@ -10,7 +10,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import rows_of
+from helpers import rows_of
 from wardbook.plans.registry import REPORTS
 from wardbook.sinks.reports import SHEET_DATE_COLUMNS, sheet, write_rows, write_sheet, write_table
 from wardbook.sources.catalog import Tables, declared_columns
