@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from wardbook.llm import encoding, exact, language, licences, packing, passages, simhash, substrings, toxicity, vectors
+from wardbook.llm import (
+    alignment,
+    encoding,
+    exact,
+    language,
+    licences,
+    packing,
+    passages,
+    simhash,
+    substrings,
+    toxicity,
+    vectors,
+)
 
 QUERIES = {
     "op1_near_vectors": vectors.op1_near_vectors,
@@ -15,6 +27,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": language.op9_language,
     "op10_passages": passages.op10_passages,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {

@@ -20,7 +20,7 @@ PLAIN = 0x250
 """Characters below this point (Latin) are split alike by every version of the Unicode tables."""
 
 
-def _once(key: tuple, make: Callable):
+def once(key: tuple, make: Callable):
     """What ``make`` gives, made once in each worker process, whichever task asks first."""
     kept = vars(sys.modules.setdefault("wardbook_worker", types.ModuleType("wardbook_worker")))
     if key not in kept:
@@ -39,36 +39,41 @@ def rank_encoder(path: str) -> tiktoken.Encoding:
         with open(path, "rb") as lines:
             return _encoding("ranks", {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
 
-    return _once(("ranks", path), make)
+    return once(("ranks", path), make)
 
 
-def _pair(path: str) -> tuple[Tokenizer, tiktoken.Encoding]:
-    """A ``tokenizers`` file, and its vocabulary as ranks.
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown}
+    return letters | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+def _pair(path: str) -> tuple[Tokenizer, tiktoken.Encoding, list[str]]:
+    """A ``tokenizers`` file, its vocabulary as ranks, and its added tokens.
 
     In a byte-level vocabulary whose merges are numbered in the order they apply,
     ids are ranks, so both libraries give the same ids; the second is four times
     as fast. Tests compare them.
     """
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in shown}
-    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = set(exact.get_added_tokens_decoder())
-    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i not in special}
-    return exact, _encoding("vocabulary", ranks)
+    letters = byte_letters()
+    added = exact.get_added_tokens_decoder()
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i not in added}
+    return exact, _encoding("vocabulary", ranks), [t.content for t in added.values()]
 
 
 def vocabulary_ids(text: str, path: str = PACKING_VOCABULARY) -> np.ndarray:
-    """Ids of a text by a ``tokenizers`` file, without special tokens, as unsigned 32-bit numbers.
+    """Ids of a text by a ``tokenizers`` file, as unsigned 32-bit numbers: nothing is added at its ends.
 
     Texts with characters beyond Latin, where libraries may differ in what is a
-    letter, go through ``tokenizers`` itself.
+    letter, and texts that spell an added token, which is then that one id, go
+    through ``tokenizers`` itself.
     """
-    exact, fast = _once(("vocabulary", path), lambda: _pair(path))
-    if text.isascii() or ord(max(text)) < PLAIN:
+    exact, fast, added = once(("vocabulary", path), lambda: _pair(path))
+    if (text.isascii() or ord(max(text)) < PLAIN) and not any(t in text for t in added):
         return fast.encode_to_numpy(text, disallowed_special=())
     return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
