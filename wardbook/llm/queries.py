@@ -10,6 +10,7 @@ from wardbook.llm import (
     licences,
     packing,
     passages,
+    phrases,
     simhash,
     substrings,
     toxicity,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": language.op9_language,
     "op10_passages": passages.op10_passages,
+    "op12_phrases": phrases.op12_phrases,
     "op13_alignment": alignment.op13_alignment,
 }
 
@@ -36,4 +38,5 @@ ORACLE_SQL = {
     "op5_suffix_dedup": substrings.SQL,
     "op6_licences": licences.SQL,
     "op10_passages": passages.SQL,
+    "op12_phrases": phrases.SQL,
 }

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +57,11 @@ def keyed(frame: DataFrame, keys: DataFrame, how: str, rows: int | None = None)
     count = keys.count() if rows is None else rows
     side = F.broadcast(keys) if count <= BROADCAST_ROWS else keys.hint("merge")
     return frame.join(side, keys.columns, how)
+
+
+def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its times, as whole numbers."""
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(times, at) if len(at) else times
