@@ -9,6 +9,7 @@ from wardbook.llm import (
     language,
     licences,
     packing,
+    pages,
     passages,
     phrases,
     simhash,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": language.op9_language,
     "op10_passages": passages.op10_passages,
+    "op11_main_text": pages.op11_main_text,
     "op12_phrases": phrases.op12_phrases,
     "op13_alignment": alignment.op13_alignment,
 }
