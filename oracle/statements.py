@@ -412,6 +412,21 @@ JOIN gl_sub_ledgers led ON led.ledger_type_code = e.ledger_type_code
   AND led.sub_ldgr_item_code = e.sub_ldgr_item_code
 WHERE e.coa_code = '1113116004' AND ob.year_code = '1997-1998' AND lower(led.sub_ldgr_item_desc) LIKE '%'
 GROUP BY strftime(e.trans_date, '%m-%Y'), e.coa_code, acc.coa_description, e.ledger_type_code,
+  e.sub_ldgr_item_code, led.sub_ldgr_item_desc, ob.open_dr - ob.open_cr""",
+        "corporate_billing_all_years": """
+SELECT yr.year_code, strftime(e.trans_date, '%m-%Y') AS month, e.coa_code, acc.coa_description,
+  e.sub_ldgr_item_code AS subsidiary_code, led.sub_ldgr_item_desc AS client,
+  CAST(ob.open_dr - ob.open_cr AS DECIMAL(28,2)) AS opening_balance,
+  CAST(sum(e.dr_amount) AS DECIMAL(28,2)) AS billing, CAST(sum(e.cr_amount) AS DECIMAL(28,2)) AS receipt
+FROM gl_tran_detail e
+JOIN gl_financial_year yr ON date_trunc('day', e.trans_date) BETWEEN yr.from_date AND yr.to_date
+JOIN gl_opening_balances ob ON ob.year_code = yr.year_code AND ob.coa_code = e.coa_code
+  AND ob.ledger_type_code = e.ledger_type_code AND ob.sub_ldgr_item_code = e.sub_ldgr_item_code
+JOIN gl_coa acc ON acc.coa_code = e.coa_code
+JOIN gl_sub_ledgers led ON led.ledger_type_code = e.ledger_type_code
+  AND led.sub_ldgr_item_code = e.sub_ldgr_item_code
+WHERE e.coa_code = '1113116004' AND lower(led.sub_ldgr_item_desc) LIKE '%'
+GROUP BY yr.year_code, strftime(e.trans_date, '%m-%Y'), e.coa_code, acc.coa_description, e.ledger_type_code,
   e.sub_ldgr_item_code, led.sub_ldgr_item_desc, ob.open_dr - ob.open_cr""",
         "stock_movement_daily": f"""
 SELECT mv.store_id, st.description AS store, CAST(date_trunc('day', mv.transaction_date) AS TIMESTAMP)

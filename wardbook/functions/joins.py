@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _APART = "__apart"
@@ -33,6 +33,19 @@ def join_reduced(
     )
 
 
+def aggregates_for(
+    rows: DataFrame, source: DataFrame, keys: Sequence[str], *aggregates: Column
+) -> DataFrame:
+    """Aggregates of ``source`` for the keys that ``rows`` have: one row per key.
+
+    What a correlated aggregate subquery asks for. The distinct keys of the rows
+    are a semi join below the grouping, so of a large source only what belongs
+    to some row is shuffled and grouped. A NULL in a key meets nothing.
+    """
+    wanted = rows.select(*keys).dropna().distinct()
+    return join_reduced(source, wanted, keys, "left_semi").groupBy(*keys).agg(*aggregates)
+
+
 def within_range_of(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
     """Drop rows whose key lies outside the smallest and largest key of ``others``.
 

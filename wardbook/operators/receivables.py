@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardbook.functions.columns import or_zero
-from wardbook.functions.joins import join_reduced
+from wardbook.functions.joins import aggregates_for, join_reduced
 from wardbook.functions.moments import Moment, literal, parse_moment
 from wardbook.sources.catalog import Tables
 
@@ -49,6 +49,72 @@ def open_invoices(tables: Tables, client_invoices: DataFrame) -> DataFrame:
     return join_reduced(invoices, client_invoices, ["client_invoice_no"], "left_semi")
 
 
+def invoice_figures(tables: Tables, cutoff: Moment, billed: Column) -> tuple[DataFrame, DataFrame]:
+    """Remaining sum of all open client invoices, and the sum of ``billed`` client invoices, from one scan.
+
+    Each invoice is listed once for every part it plays: as an unpaid client
+    invoice under its own number, as an open one under the number it is billed
+    through, as a billed one under none. Sums by part, number, client and patient
+    are the only thing shuffled. What follows reads that shuffle again instead of the
+    table; its filters need both sums and parts, so they stay above it.
+    """
+    nothing = {
+        "client_id": F.lit(None).cast("string"),
+        "mrno": F.lit(None).cast("bigint"),
+        "amount": F.lit(None).cast("decimal(28,2)"),
+    }
+
+    def part(name: str, number: Column, **columns: Column) -> Column:
+        cells = {"part": F.lit(name), "number": number, **nothing, **columns}
+        return F.struct(*(cell.alias(key) for key, cell in cells.items()))
+
+    remaining = or_zero("net_receivable") - or_zero("received_amount")
+    client_invoice = F.col("final_invoice_type").isin(CLIENT_INVOICE_TYPES)
+    unpaid = (
+        (or_zero("net_receivable") > or_zero("received_amount"))
+        & client_invoice
+        & (F.col("final_invoice_date") > literal(parse_moment(cutoff, "cutoff")))
+    )
+    outstanding = F.coalesce(F.abs("net_receivable"), F.lit(0)) - or_zero("received_amount") > 0
+    known = F.col("client_id").isNotNull() & F.col("mrno").isNotNull()
+    parts = F.array(
+        F.when(unpaid, part("unpaid", F.col("final_invoice_no"))),
+        F.when(
+            outstanding & known & F.col("final_invoice_type").isin(OPEN_TYPES),
+            part(
+                "open",
+                F.col("client_invoice_no"),
+                client_id=F.col("client_id"),
+                mrno=F.col("mrno"),
+                amount=remaining.cast("decimal(28,2)"),
+            ),
+        ),
+        F.when(
+            client_invoice & billed,
+            part("billed", F.lit(None).cast("bigint"), amount=F.col("net_receivable").cast("decimal(28,2)")),
+        ),
+    )
+    played = (
+        tables.final_invoice_master.select(F.inline(F.array_compact(parts)))
+        .where((F.col("part") == "billed") | F.col("number").isNotNull())
+        .groupBy("number", "client_id", "mrno", F.col("part").alias("played"))
+        .agg(F.max("part").alias("part"), F.sum("amount").alias("amount"))
+    )
+    numbers = played.where((F.col("part") == "unpaid") & F.col("amount").isNull()).select("number")
+    of_open = join_reduced(
+        played.where((F.col("part") == "open") & F.col("amount").isNotNull()), numbers, ["number"], "left_semi"
+    )
+    total = (
+        of_open.join(tables.client.select("client_id"), "client_id")
+        .join(tables.v_patient.select("mrno"), "mrno")
+        .agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("total_receivable"))
+    )
+    billing = played.where((F.col("part") == "billed") & F.col("amount").isNotNull()).agg(
+        F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("billing")
+    )
+    return total, billing
+
+
 def settled_invoices(tables: Tables) -> DataFrame:
     """Invoices that round to nothing left, of processes that have corporate details.
 
@@ -68,29 +134,36 @@ def with_stay_details(tables: Tables, invoices: DataFrame) -> DataFrame:
     """Name the invoices and add first reference letter, last admission and last admission date of each.
 
     The three values come from one aggregation of those corporate details that
-    belong to the invoices.  Letters and admissions are reduced to one row per
-    key beforehand (minima and maxima are the same with or without repeats) and
-    met where that grouping left them; NULL keys, which meet nothing, are left
-    out of it.  Details without a letter are dealt out by their invoice, so
-    they do not gather in one task.
+    belong to the invoices; repeated details are dropped first, as minima and
+    maxima are the same without them. Letters and admissions are aggregated for the keys
+    of these details alone (``aggregates_for``). The distinct details feed all three
+    branches, so Spark shuffles them once and reads that shuffle again. Details without a letter are
+    dealt out by their invoice, so they do not gather in one task.
     """
-    letters = (
-        tables.ref_letter_master.where(F.col("ref_letter_no").isNotNull())
-        .groupBy(F.col("ref_letter_no").cast("string").alias("letter"))
-        .agg(F.min("client_ref_no").alias("client_ref_no"))
+    details = (
+        join_reduced(
+            tables.pbs_tran_detail_corporate.withColumnRenamed("final_invoice_no", "client_invoice_no"),
+            invoices.select(*INVOICE).distinct(),
+            INVOICE,
+            "left_semi",
+        )
+        .select(*INVOICE, "admission_no", F.col("ref_letter_no").cast("string").alias("letter"))
+        .distinct()
+    )
+    letters = aggregates_for(
+        details,
+        tables.ref_letter_master.select(F.col("ref_letter_no").cast("string").alias("letter"), "client_ref_no"),
+        ["letter"],
+        F.min("client_ref_no").alias("client_ref_no"),
     )
-    admitted = (
-        tables.final_invoice_master.where(F.col("admission_no").isNotNull() & F.col("mrno").isNotNull())
-        .groupBy("admission_no", "mrno")
-        .agg(F.max("admission_date").alias("admission_date"))
+    admitted = aggregates_for(
+        details,
+        tables.final_invoice_master.select("admission_no", "mrno", "admission_date"),
+        ["admission_no", "mrno"],
+        F.max("admission_date").alias("admission_date"),
     )
     without = F.concat(F.lit("without letter "), F.col("client_invoice_no").cast("string"))
-    details = join_reduced(
-        tables.pbs_tran_detail_corporate.withColumnRenamed("final_invoice_no", "client_invoice_no"),
-        invoices.select(*INVOICE).distinct(),
-        INVOICE,
-        "left_semi",
-    ).withColumn("letter", F.coalesce(F.col("ref_letter_no").cast("string"), without))
+    details = details.withColumn("letter", F.coalesce("letter", without))
     per_invoice = (
         details.join(letters, "letter", "left")
         .join(admitted, ["admission_no", "mrno"], "left")

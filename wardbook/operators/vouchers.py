@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.intervals import within_intervals
 from wardbook.functions.moments import Moment, from_until, start_of_day
 from wardbook.functions.predicates import like_pattern
 from wardbook.operators.ranges import near
@@ -96,6 +97,20 @@ def daily_movements(tables: Tables, coa_code: str, year_code: str) -> DataFrame:
     )
 
 
+def movements_in_years(tables: Tables, coa_code: str) -> DataFrame:
+    """Debit and credit per sub-ledger and day of one account, once for each fiscal year the day's midnight lies in.
+
+    Years may overlap or leave gaps. Lines are summed by day before they meet the calendar.
+    """
+    years = tables.gl_financial_year.select("year_code", "from_date", "to_date")
+    by_day = (
+        tables.gl_tran_detail.where(F.col("coa_code") == coa_code)
+        .groupBy("coa_code", *SUB_LEDGER, start_of_day(F.col("trans_date")).alias("day"))
+        .agg(F.sum("dr_amount").alias("dr_amount"), F.sum("cr_amount").alias("cr_amount"))
+    )
+    return within_intervals(by_day, "day", years, "from_date", "to_date").drop("from_date", "to_date")
+
+
 def opening_balances(tables: Tables, coa_code: str, year_code: str) -> DataFrame:
     """Opening balance per sub-ledger of one account, with the dates of its fiscal year."""
     years = tables.gl_financial_year.select("year_code", "from_date", "to_date")

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardbook.functions.moments import Moment
+from wardbook.functions.moments import Moment, last_days
+from wardbook.operators.receivables import invoice_figures
 from wardbook.plans.donations import kpi_donations
-from wardbook.plans.receivables import (
-    AGING_CUTOFF,
-    kpi_client_receipts,
-    kpi_debtor_billing,
-    kpi_total_receivable,
-)
+from wardbook.plans.receivables import AGING_CUTOFF, kpi_client_receipts
 from wardbook.plans.stock import (
     KPI_TRANSFER_END,
     KPI_TRANSFER_START,
@@ -32,13 +28,16 @@ def kpi_dashboard(
     """All key figures as one row.
 
     Each figure is a scalar subquery, so Spark runs them side by side, and the
-    two consumption figures are fields of one.
+    two consumption figures are fields of one. Both figures of invoices come
+    from one scan of them (``invoice_figures``), and no other fact table has two.
     """
+    billed = last_days(F.col("final_invoice_date"), as_of)
+    receivable, billing = invoice_figures(tables, cutoff, billed)
     figures = {
-        "total_receivable": kpi_total_receivable(tables, cutoff),
+        "total_receivable": receivable,
         "client_receipts": kpi_client_receipts(tables, as_of),
         "donations": kpi_donations(tables, as_of),
-        "total_debtor_billing": kpi_debtor_billing(tables, as_of),
+        "total_debtor_billing": billing,
         "pharmacy_consumption": kpi_pharmacy_consumption(tables, transfer_start, transfer_end),
     }
     consumed = kpi_consumption(tables, as_of).select(

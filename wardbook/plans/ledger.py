@@ -13,6 +13,7 @@ from wardbook.operators.vouchers import (
     accounts,
     code_starts,
     daily_movements,
+    movements_in_years,
     opening_balances,
     sub_ledgers,
     voucher_lines,
@@ -145,3 +146,49 @@ def corporate_billing_monthly(
         )
     )
     return in_order(rows, "subsidiary_code")
+
+
+def corporate_billing_all_years(
+    tables: Tables, client: str | None = None, coa_code: str = CORPORATE_ACCOUNT
+) -> DataFrame:
+    """Billing and receipts of the corporate account per sub-ledger and month of every fiscal year at once.
+
+    A sub-ledger counts in the years that it has an opening balance in.
+    """
+    clients = sub_ledgers(tables).where(matches_if_given(F.col("sub_ldgr_item_desc"), client))
+    opened = tables.gl_opening_balances.where(F.col("coa_code") == coa_code).select(
+        "year_code",
+        "coa_code",
+        *SUB_LEDGER,
+        (F.col("open_dr") - F.col("open_cr")).cast("decimal(28,2)").alias("opening_balance"),
+    )
+    rows = (
+        movements_in_years(tables, coa_code)
+        .groupBy("year_code", F.date_format("day", "MM-yyyy").alias("month"), "coa_code", *SUB_LEDGER)
+        .agg(F.sum("dr_amount").alias("dr_amount"), F.sum("cr_amount").alias("cr_amount"))
+        .join(opened, ["year_code", "coa_code", *SUB_LEDGER])
+        .join(accounts(tables), "coa_code")
+        .join(clients, SUB_LEDGER)
+        .groupBy(
+            "year_code",
+            "month",
+            "coa_code",
+            "coa_description",
+            *SUB_LEDGER,
+            "sub_ldgr_item_desc",
+            "opening_balance",
+        )
+        .agg(money(F.sum("dr_amount"), "billing"), money(F.sum("cr_amount"), "receipt"))
+        .select(
+            "year_code",
+            "month",
+            "coa_code",
+            "coa_description",
+            F.col("sub_ldgr_item_code").alias("subsidiary_code"),
+            F.col("sub_ldgr_item_desc").alias("client"),
+            "opening_balance",
+            "billing",
+            "receipt",
+        )
+    )
+    return in_order(rows, "year_code", "subsidiary_code")

@@ -30,6 +30,7 @@ _ALL = (
     donations.donation_receipt,
     donations.donation_receipt_numbers,
     ledger.corporate_billing_monthly,
+    ledger.corporate_billing_all_years,
     stock.stock_movement_daily,
     ledger.fund_general_ledger,
     ledger.fund_trial_balance,
