@@ -21,8 +21,8 @@ TRANSFER = "026"
 CONSUMED = ["move_type_id", "store_id", "cost_centre_id", "item_id"]
 
 
-def consumption(tables: Tables, window: Column, location: str) -> DataFrame:
-    """Net quantity and value per (location, move type, store, cost centre, item).
+def consumption(tables: Tables, window: Column, location: str, *also: Column) -> DataFrame:
+    """Net quantity and value per (location, move type, store, cost centre, item) and what else is asked for.
 
     The ledger is summed on its own codes before it meets stores, items, move
     types and cost centres, so the joins carry one row per combination.
@@ -33,7 +33,7 @@ def consumption(tables: Tables, window: Column, location: str) -> DataFrame:
         & F.col("move_type_id").isin(CONSUMPTION_MOVES)
         & (F.col("store_id") != EXCLUDED_STORE)
     )
-    summed = moves.groupBy(*CONSUMED).agg(
+    summed = moves.groupBy(*CONSUMED, *also).agg(
         F.sum(net).alias("qty"), F.sum(net * F.col("unit_cost")).alias("value")
     )
     sub_stores = tables.store.where(F.col("main_sub") == "S").select("store_id")
