@@ -30,6 +30,7 @@ SLICE = 1 << 23
 """Bytes of text or chunks that a task works on at once (a longer one alone)."""
 BLOCK = 1 << 15
 """Bits of one row of a bit set, as Spark's bitmap aggregate makes them."""
+BITS_EACH = 64
 MAX_BITS = 1 << 28
 """Bits of a bit set at most, 32 MB, whatever the number of its members."""
 RANKED = 1 << 18
@@ -163,34 +164,29 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def count_words(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and of all words as that of the word null."""
+def count_parts(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.RecordBatch]:
+    """Counts of words by their text, of all words as neither, and of pairs of neighbouring words by hash."""
+    names = ["lang", "phrase", "hash", "f"]
     for lang, rows in slices(batches, "chunk"):
         c = read_chunks(lang, rows, overlap)
         keys, counts = summed(c.numbers[c.counted], c.times[c.counted])
         words = pa.array([None, *(c.known[k] for k in keys.tolist())], pa.binary()).cast(pa.string())
         counts = np.append(counts.sum(), counts)
-        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words)), words, pa.array(counts)], ["lang", "phrase", "f"])
-
-
-def count_pairs(batches: Iterator[pa.RecordBatch], overlap: int, frequent) -> Iterator[pa.RecordBatch]:
-    """Counts of pairs of words that are both frequent, by hash."""
-    for lang, rows in slices(batches, "chunk"):
-        c = read_chunks(lang, rows, overlap)
-        known = members(frequent.value, c.hashes)[c.numbers]
-        at = np.flatnonzero(c.counted & (c.left >= 2) & known & np.append(known[1:], False))
+        none = pa.nulls(len(words), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words)), words, none, pa.array(counts)], names)
+        at = np.flatnonzero(c.counted & (c.left >= 2))
         keys, counts = summed(pair_hashes(c.hashes[c.numbers])[at], c.times[at])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["hash", "f"])
+        none = pa.nulls(len(keys), pa.string())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
 
 def count_phrases(
-    batches: Iterator[pa.RecordBatch], overlap: int, max_words: int, frequent, pairs
+    batches: Iterator[pa.RecordBatch], overlap: int, max_words: int, pairs
 ) -> Iterator[pa.RecordBatch]:
-    """Counts of phrases whose words and neighbouring pairs may all be frequent, by their words."""
+    """Counts of phrases whose pairs of neighbouring words may all be frequent, by their text."""
     for lang, rows in slices(batches, "chunk"):
         c = read_chunks(lang, rows, overlap)
-        known = members(frequent.value, c.hashes)[c.numbers]
-        good = known & np.append(known[1:], False) & (c.left >= 2) & members(pairs.value, pair_hashes(c.hashes[c.numbers]))
+        good = (c.left >= 2) & members(pairs.value, pair_hashes(c.hashes[c.numbers]))
         at, ids = np.flatnonzero(good), c.numbers
         for n in range(2, max_words + 1):
             # Phrases of n words are those of n - 1 whose last two words are a good pair; each gets a number.
@@ -211,13 +207,13 @@ def count_phrases(
 
 
 def bit_set(hashes: DataFrame):
-    """Hashes (a written table) as a broadcast set of bits, 16 for each up to ``MAX_BITS``.
+    """Hashes (a written table) as a broadcast set of bits, ``BITS_EACH`` for each up to ``MAX_BITS``.
 
     Other hashes may seem to be in it, the more the fuller it is: it saves work and
     decides nothing. Spark makes its rows of 4 KB; only these, 32 MB at most, come to the driver.
     """
     bits = BLOCK
-    while bits < min(MAX_BITS, 16 * hashes.count()):
+    while bits < min(MAX_BITS, BITS_EACH * hashes.count()):
         bits *= 2
     place = F.expr(f"hash & {bits - 1}L")
     rows = (
@@ -248,14 +244,14 @@ def frequencies(docs: DataFrame, max_words: int, min_count: int, modulus: int =
         return chunks.mapInArrow(partial(count, overlap=overlap, **options), schema).groupBy(by).agg(F.sum("f").alias("f"))
 
     often = F.col("f") >= min_count
-    phrase, by_text = "lang string, phrase string, f long", ["lang", "phrase"]
-    words = written(counted(count_words, phrase, by_text).filter(often | F.col("phrase").isNull()))
-    singles = words.filter("phrase is not null")
-    frequent = bit_set(written(singles.select(F.xxhash64("lang", "phrase").alias("hash"))))
-    hashes = counted(count_pairs, "hash long, f long", ["hash"], frequent=frequent)
-    pairs = bit_set(written(hashes.filter(often).select("hash")))
-    longer = counted(count_phrases, phrase, by_text, max_words=max_words, frequent=frequent, pairs=pairs)
-    totals = words.filter("phrase is null").select("lang", F.col("f").alias("n"))
+    parts = counted(count_parts, "lang string, phrase string, hash long, f long", ["lang", "phrase", "hash"])
+    parts = written(parts.filter(often | (F.col("phrase").isNull() & F.col("hash").isNull())))
+    singles = parts.filter("phrase is not null").select("lang", "phrase", "f")
+    pairs = bit_set(parts.filter("hash is not null").select("hash"))
+    longer = counted(
+        count_phrases, "lang string, phrase string, f long", ["lang", "phrase"], max_words=max_words, pairs=pairs
+    )
+    totals = parts.filter("phrase is null and hash is null").select("lang", F.col("f").alias("n"))
     return totals, written(singles.unionByName(longer.filter(often)))
 
 
@@ -338,9 +334,9 @@ def collocations(
     A parse cuts pieces into overlapping chunks where word windows say so
     (``chunks_of``); the distinct chunks and how often each occurs are all that is
     counted. A phrase lies whole in a chunk and counts where it begins
-    outside the overlap with the next, so once. Words are counted first, then
-    pairs of frequent words by hash, then phrases by their words; bit sets of bounded
-    size keep out phrases that hold an infrequent word or pair. All counts that decide are exact.
+    outside the overlap with the next, so once. Words are counted first, and pairs of words by hash; a bit set of
+    bounded size then keeps out phrases that hold an infrequent pair, and the rest are counted by their
+    text. All counts that decide are exact.
     """
     totals, found = frequencies(docs, max_words, min_count, modulus)
     phrases = written(scored(found, max_words, scale))
