@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ TOTAL_BYTES = 128_000_000
 FOLDS = 4
 HELD_OUT = 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BATCH = 1 << 20
 
 
@@ -235,7 +235,7 @@ def language_id(docs: DataFrame, language_bytes: int = LANGUAGE_BYTES) -> DataFr
     """``doc_id, held_out, lang_pred, score`` for every row of ``docs``.
 
     Only the text decides. ``und`` with score 0 stands for a null text or one without a
-    letter, and for everything where nothing could be learned. Learning is from a bounded
+    letter (Unicode category L: digits, number forms and marks are none), and for everything where nothing could be learned. Learning is from a bounded
     sample of every language (see ``train``); prediction reads whole texts. Rows that repeat a
     ``doc_id`` are predicted each; a null ``doc_id`` is never held out. Extra
     columns are not used.
