@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardbook.llm.support import BROADCAST_ROWS, table, written
-from wardbook.llm.tokens import ENCODING_VOCABULARY, PATTERN, PLAIN, rank_encoder, rank_ids
+from wardbook.llm.tokens import ENCODING_VOCABULARY, PATTERN, rank_encoder, rank_ids
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 
 
+def settled(character: str) -> bool:
+    """Whether a character of any script has had its category since the tables of 2002, so that libraries agree on it."""
+    category = unicodedata.ucd_3_2_0.category(character)
+    return category != "Cn" and category == unicodedata.category(character)
+
+
 def boundaries(text: str) -> set[int]:
     """Ends of the pre-tokens of a text that is cut off at its end, so without the last."""
     return {m.end() for m in regex.finditer(PATTERN, text)} - {len(text)}
@@ -29,7 +36,7 @@ def common_boundary(chunk: str, size: int) -> int | None:
     Pre-tokens depend on what follows them, not on what precedes them. From the
     first place in the overlap that ends a pre-token in both readings, the one from
     the chunk's start and the one from the overlap's, the two agree. Only
-    places between Latin characters count, on which all Unicode tables agree.
+    places between ``settled`` characters count, on which all Unicode tables agree.
     """
     overlap = boundaries(chunk[size:])
     found = [
@@ -37,8 +44,8 @@ def common_boundary(chunk: str, size: int) -> int | None:
         for at in boundaries(chunk)
         if at >= size
         and (at - size in overlap or at == size)
-        and ord(chunk[at - 1]) < PLAIN
-        and ord(chunk[at]) < PLAIN
+        and settled(chunk[at - 1])
+        and settled(chunk[at])
     ]
     return min(found, default=None)
 
@@ -92,7 +99,8 @@ def stitched(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     def cut_at(texts: pd.Series) -> pd.Series:
         return pd.Series([common_boundary(t, chunk) for t in texts], dtype="Int32")
 
-    longs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    of = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), "text")
+    longs = docs.withColumn("key", F.sha2(of, 256))
     count = F.ceil(F.char_length("text") / chunk).cast("int")
     chunks = written(
         longs.select("key", "text", F.explode(F.sequence(F.lit(0), count - 2)).alias("number"))
@@ -124,7 +132,8 @@ def byte_bpe(
     ``chunk`` characters are one chunk. Longer ones are cut into chunks that
     overlap by ``overlap`` (less than ``chunk``), pre-tokenised in parallel, stitched
     where pre-token boundaries resynchronise, and the pieces between are encoded
-    in parallel; digests run over a document's pieces in order.
+    in parallel; digests run over a document's pieces in order. Scripts without spaces are cut at their punctuation;
+    a text without any boundary within an overlap stays whole there.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
@@ -132,7 +141,7 @@ def byte_bpe(
     pieces = (
         stitched(docs.filter(long).select("doc_id", "text"), chunk, overlap)
         .repartition("key", "piece")
-        .mapInPandas(lambda b: encode_pieces(b, vocabulary), "doc_id long, key long, piece int, ids binary")
+        .mapInPandas(lambda b: encode_pieces(b, vocabulary), "doc_id long, key string, piece int, ids binary")
     )
     joined = pieces.groupBy("key").applyInPandas(lambda g: assemble(g, vocabulary), schema)
     return short.union(joined)
