@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from wardbook.llm.support import parts_for, text_bytes
 
-PART = "__part"
 PART_BYTES = 4_000_000
 GIANT = 100_000
 """Runs of one seed, in all documents, from which on its windows are dealt out one by one."""
@@ -177,7 +176,7 @@ def batches_of(frame: pd.DataFrame, unit: Unit) -> list[Batch]:
 
 
 def seeds_of(batches: list[Batch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The seeds of a part in order, whether several of its documents have them, and how many runs (255 at most)."""
+    """The seeds of a part in order, whether several of its documents have them, and how many runs."""
     seed = np.concatenate([np.zeros(0, np.uint64), *(b.runs.seed for b in batches)])
     doc = np.concatenate([np.zeros(0, np.int64), *(b.ids[b.runs.doc] for b in batches)])
     if not len(seed):
@@ -186,10 +185,10 @@ def seeds_of(batches: list[Batch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seed, doc = seed[order], doc[order]
     start = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
     several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
-    return seed[start], several, np.minimum(np.diff(np.r_[start, len(seed)]), 255)
+    return seed[start], several, np.diff(np.r_[start, len(seed)])
 
 
-def tell_seeds(frame: pd.DataFrame, unit: Unit, bits: int) -> pd.DataFrame:
+def tell_seeds(frame: pd.DataFrame, part: int, unit: Unit, bits: int) -> pd.DataFrame:
     """Messages of a part to the seed buckets: six bytes of each seed (beside the bucket), and its runs."""
     seed, _, count = seeds_of(batches_of(frame, unit))
     bucket = (seed >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seed), np.int64)
@@ -197,7 +196,7 @@ def tell_seeds(frame: pd.DataFrame, unit: Unit, bits: int) -> pd.DataFrame:
     for b in np.unique(bucket):
         low, high = np.searchsorted(bucket, [b, b + 1])
         short = seed[low:high].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        rows.append((int(b), int(frame[PART].iloc[0]), short.tobytes(), count[low:high].astype(np.uint8).tobytes()))
+        rows.append((int(b), part, short.tobytes(), count[low:high].astype("<u4").tobytes()))
     return pd.DataFrame(rows, columns=["bucket", "part", "seeds", "counts"])
 
 
@@ -210,7 +209,7 @@ def compare_seeds(messages: pd.DataFrame, giant: int) -> pd.DataFrame:
     sizes = [len(s) for s in short]
     wide = np.zeros((sum(sizes), 8), np.uint8)
     wide[:, :6] = np.concatenate(short)
-    counts = np.concatenate([np.frombuffer(m, np.uint8) for m in messages["counts"]])
+    counts = np.concatenate([np.frombuffer(m, "<u4") for m in messages["counts"]])
     _, index, parts = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
     runs = np.bincount(index, weights=counts)
     flags = ((parts > 1).astype(np.uint8) | ((runs > giant).astype(np.uint8) << 1))[index]
@@ -413,12 +412,18 @@ def remove_repeats(
     buckets = parts
     at = place(buckets) if place else lambda seed: xxhash.xxh3_64_intdigest(seed) % buckets
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
-    dealt = docs.filter("doc_id is not null").select("doc_id", "text", *carry, part.alias(PART))
+    name = "part"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    dealt = docs.filter("doc_id is not null").select("doc_id", "text", *carry, part.alias(name))
+
+    def first(frame: pd.DataFrame) -> pd.DataFrame:
+        return tell_seeds(frame, int(frame[name].iloc[0]), unit, bits)
 
     def second(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         batches = batches_of(frame, unit)
         entries = entries_of(batches, Shared.of(batches, answers), unit, at, buckets)
-        return tell_runs(entries, int(frame[PART].iloc[0]))
+        return tell_runs(entries, int(frame[name].iloc[0]))
 
     def third(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         batches = batches_of(frame, unit)
@@ -427,13 +432,13 @@ def remove_repeats(
         return finish(frame, covered(batches, shared, entries, answers[answers["masks"].notna()], unit))
 
     flags = (
-        dealt.groupBy(PART)
-        .applyInPandas(lambda f: tell_seeds(f, unit, bits), "bucket int, part int, seeds binary, counts binary")
+        dealt.groupBy(name)
+        .applyInPandas(first, "bucket int, part int, seeds binary, counts binary")
         .groupBy("bucket")
         .applyInPandas(lambda m: compare_seeds(m, giant), "part int, bucket int, flags binary")
     )
     masks = (
-        dealt.groupBy(PART)
+        dealt.groupBy(name)
         .cogroup(flags.groupBy("part"))
         .applyInPandas(second, "bucket int, part int, sizes binary, seeds binary, docs binary, texts binary")
         .groupBy("bucket")
@@ -447,4 +452,4 @@ def remove_repeats(
             yield finish(frame, untouched(frame, unit))
 
     unknown = docs.filter("doc_id is null").select("doc_id", "text", *carry).mapInPandas(alone, schema)
-    return dealt.groupBy(PART).cogroup(answers.groupBy("part")).applyInPandas(third, schema).union(unknown)
+    return dealt.groupBy(name).cogroup(answers.groupBy("part")).applyInPandas(third, schema).union(unknown)
