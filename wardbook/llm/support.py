@@ -21,9 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, local runs), one of this process."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one of this process, and then only in local mode.
+
+    On a cluster every executor would write to a disk of its own, so there the setting has to be made.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master.partition("[")[0] != "local":
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master!r})")
         folder = tempfile.mkdtemp(prefix="wardbook-checkpoints-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         folder = f"file://{folder}"
