@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -213,3 +214,28 @@ def test_rows_without_an_id_or_of_one_id_spread(made_docs):
     parts = found.collect()
     assert len(parts) == len(rows) and not any(r["dealt"] for r in parts if r["doc_id"] is None)
     assert max(r["rows"] for r in parts if r["doc_id"] == 7) < 50
+
+
+@pytest.mark.parametrize("name", ["__part", "part", "PART", "part_"])
+def test_columns_of_any_name_are_carried(spark, name):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text, "first"), (2, "before " + text + " after", "second"), (None, text, "third")]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, `{name}` string")
+    found = sorted(map(tuple, passages.without_passages(docs).collect()), key=lambda r: r[2])
+    assert found == [(1, text, "first"), (2, "before after", "second"), (None, text, "third")]
+    assert passages.passage_dedup(docs).count() == substrings.suffix_dedup(docs).count() == 3
+
+
+def test_giant_seeds_are_seen_however_few_parts(made_docs):
+    """A seed with more than 255 runs in one part counts in full, so its windows are dealt out one by one."""
+    rng = np.random.default_rng(7)
+    seed = " ".join(f"s{i}" for i in range(6))
+    text = " ".join(" ".join(f"r{x}" for x in rng.integers(0, 10**9, 8)) + " " + seed for _ in range(400))
+    frame = made_docs([(1, text), (2, text[::-1])]).toPandas()
+    batches = repeats.batches_of(frame, passages.WORDS)
+    counts = repeats.seeds_of(batches)[2]
+    assert counts.max() > 255
+    messages = repeats.tell_seeds(frame, 0, passages.WORDS, 0)
+    other = messages.assign(part=1)
+    flags = repeats.compare_seeds(pd.concat([messages, other]), giant=600)["flags"].iloc[0]
+    assert (np.frombuffer(flags, np.uint8) & 2).any() == (2 * counts.max() > 600)

@@ -38,8 +38,30 @@ def test_encoding_odd_rows(made_docs):
     assert encoding.byte_bpe(made_docs([])).count() == 0
 
 
+SCRIPTS = {
+    "chinese": "今天天气很好，我们去公园散步。然后回家吃饭！",
+    "arabic": "ذهبت إلى السوق، ثم عدت إلى البيت. كان الجو جميلا؟ ",
+    "cyrillic": "Мы пошли в парк, потом вернулись домой. Было хорошо! ",
+    "hindi": "हम बाज़ार गए, फिर घर लौटे। मौसम अच्छा था। ",
+    "thai": "วันนี้อากาศดีมาก เราไปเดินเล่น ",
+    "japanese": "今日は天気がいいです。公園へ行きました。",
+}
+
+
+@pytest.mark.parametrize("script", list(SCRIPTS))
+def test_long_texts_of_any_script_are_cut(made_docs, script):
+    """Cut in every overlap that has a boundary, and equal to the whole text's ids."""
+    text = SCRIPTS[script] * 200
+    docs = made_docs([(1, text), (1, text), (2, text + "x")])
+    longs = encoding.stitched(docs.select("doc_id", "text"), 500, 120)
+    sizes = [r["n"] for r in longs.filter("doc_id = 2").select(encoding.F.char_length("text").alias("n")).collect()]
+    assert len(sizes) >= len(text) // 500 and max(sizes) <= 700
+    found = encoding.byte_bpe(docs, chunk=500, overlap=120).collect()
+    assert sorted(tuple(r) for r in found) == sorted([(1, *encoded(text)), (1, *encoded(text)), (2, *encoded(text + "x"))])
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.text(st.sampled_from("ab 1'st\n.é"), min_size=20, max_size=60), st.integers(5, 12))
+@given(st.text(st.sampled_from("ab 1'st\n.é汉，я।"), min_size=20, max_size=60), st.integers(5, 12))
 def test_cuts_do_not_change_the_ids(text, size):
     chunk = text[: size + 12]
     cut = encoding.common_boundary(chunk, min(size, len(chunk) - 1)) if len(chunk) > size else None
@@ -151,10 +173,12 @@ def test_code_lengths_equal_a_plain_context_tree(monkeypatch):
 
 
 def test_language_odd_rows(made_docs, documents):
-    rows = [*ODD_ROWS, (30, "12345 !!")]
+    unlettered = ["12345 !!", "½", "② ③", "x³"[1:], "Ⅷ", "\u0301", "🙂 汉"[:1], "٣", "_"]
+    rows = [*ODD_ROWS, *enumerate(unlettered, 30), (50, "ª"), (51, "汉")]
     found = language.language_id(made_docs(rows, extra=True)).toPandas()
     assert len(found) == len(rows)
-    nothing = found[found["doc_id"].isin([2, 3, 4, 30])]
+    assert "und" not in set(found[found["doc_id"].isin([50, 51])]["lang_pred"])
+    nothing = found[found["doc_id"].isin([2, 3, 4, *range(30, 30 + len(unlettered))])]
     assert (nothing["lang_pred"] == "und").all() and (nothing["score"] == 0).all()
     assert (found[found["doc_id"].isin([5, 6])]["lang_pred"] == "en").all()
     assert language.language_id(made_docs([])).count() == 0
@@ -203,7 +227,10 @@ def test_licence_rules(made_docs):
     assert found[42]["licences"] == "" and found[42]["unruled"] == "<gpl-see>"
     assert found[2]["n_sentences"] == found[3]["n_sentences"] == 0 and found[43]["licences"] == ""
     assert licences.licences(made_docs([])).count() == 0
-    assert {i for _, ids in licences.RULES for i in ids} <= set(licences.SENTENCES)
+    known = set(licences.SENTENCES) | {f"is {x}" for x in licences.NAMES} | {f"at {x}" for x in licences.ADDRESSES}
+    assert {i for _, ids in licences.RULES for i in ids} <= known
+    every = {**licences._BY_TEXT, **licences._BY_ADDRESS}
+    assert all(any(t in text for t in licences.TRIGGERS) for text in every if "org" not in text), "else they are not looked for"
 
 
 APACHE_HEADER = """Copyright 2020 Somebody
@@ -269,7 +296,45 @@ copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""
 
+LGPL_HEADER = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+
+ZLIB_FILE = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented."""
+
 HEADERS = [
+    ("LGPL-2.1-or-later", LGPL_HEADER),
+    ("LGPL-3.0-or-later", GPL3_HEADER.replace("General Public", "Lesser General Public")),
+    ("AGPL-3.0-or-later", GPL3_HEADER.replace("General Public", "Affero General Public")),
+    ("GPL-2.0-only", GPL3_HEADER.replace("License as published", "License version 2 as published").replace(
+        ", either version 3 of the License, or\n(at your option) any later version", "")),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0"
+     " which is available at\nhttp://www.eclipse.org/legal/epl-2.0"),
+    ("CDDL-1.0", "The contents of this file are subject to the terms of the\nCommon Development and Distribution License (the"
+     ' "License").\nYou may not use this file except in compliance with the License.'),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at\n"
+     "http://www.boost.org/LICENSE_1_0.txt)"),
+    ("Zlib", ZLIB_FILE),
+    *((spdx, f"SPDX-License-Identifier: {spdx}") for spdx in ("MIT", "GPL-2.0-only", "LGPL-3.0-or-later", "BSD-3-Clause", "CC-BY-SA-3.0")),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-SA-4.0", "https://creativecommons.org/licenses/by-sa/4.0/"),
+    ("MPL-2.0", "This project is licensed under the terms of the Mozilla Public License, version 2.0."),
+    ("GPL-3.0-or-later", "The code is released under the GNU GPLv3 or later."),
     ("Apache-2.0", APACHE_HEADER),
     ("Apache-2.0", APACHE_HEADER.replace("http:", "https:")),
     ("MIT", MIT_FILE),
@@ -318,6 +383,9 @@ def test_standard_headers(made_docs, prefix):
         rows.append((i, f"import this\n\n{made}\n\nSome code"))
     found = {r["doc_id"]: r["licences"] for r in licences.licences(made_docs(rows)).collect()}
     assert [(found[i], text) for i, (_, text) in enumerate(HEADERS)] == HEADERS
+    docs = pd.DataFrame({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})  # noqa: F841
+    same = duckdb.sql(licences.SQL.replace("from documents", "from docs")).df()
+    assert dict(zip(same["doc_id"], same["licences"], strict=True)) == found
 
 
 def test_no_licence_in_other_texts(made_docs):
@@ -326,7 +394,8 @@ def test_no_licence_in_other_texts(made_docs):
         (2, "You may not use this file except in compliance with the License.\nThe CDDL says so."),
         (3, "Licensed under the. MIT License."),
         (4, "Licensed under the\n\nMIT License"),
-        (5, "This work is licensed under the GNU General Public License, Version 3 or later."),
+        (5, "This work is not licensed under the Apache License, Version 2.0."),
+        (6, "Is this text licensed under the MIT license?\nIt is licensed under a licence of its own."),
     ]
     assert {r["licences"] for r in licences.licences(made_docs(rows)).collect()} == {""}
 

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tests.llm.conftest import ODD_ROWS, in_order
 from wardbook.llm import packing, tokens, vectors
@@ -138,13 +140,58 @@ def test_packing_odd_rows(made_docs):
     assert packing.pack(made_docs([])).count() == 0
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.characters(max_codepoint=0x24F), max_size=80) | st.text(max_size=40))
-def test_both_libraries_give_the_same_ids(text):
-    exact, _ = tokens._pair(tokens.PACKING_VOCABULARY) if not _PAIR else _PAIR[0]
-    if not _PAIR:
-        _PAIR.append((exact, None))
-    assert tokens.vocabulary_ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+@pytest.fixture(scope="module")
+def fresh():
+    """The vocabulary as its library reads it, with nothing set."""
+    return Tokenizer.from_file(tokens.PACKING_VOCABULARY)
 
 
-_PAIR: list = []
+MARK = "<|endoftext|>"
+SPECIAL = [MARK, f"a {MARK} b", f"x{MARK}{MARK}y", f"汉{MARK}", f" {MARK}\n", "<|endoftext|", "<|ENDOFTEXT|>", f"{MARK[:5]}{MARK}"]
+
+
+@pytest.mark.parametrize("text", SPECIAL)
+def test_added_tokens_are_their_own_ids(fresh, text):
+    wanted = fresh.encode(text, add_special_tokens=False).ids
+    assert tokens.vocabulary_ids(text).tolist() == wanted
+    assert (50256 in wanted) == (MARK in text)
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=80) | st.text(max_size=40) | st.lists(st.sampled_from([*"ab <|>", MARK])).map("".join))
+def test_both_libraries_give_the_same_ids(fresh, text):
+    assert tokens.vocabulary_ids(text).tolist() == fresh.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("options", [{}, {"part_pieces": 9, "fan_in": 3}])
+def test_packing_against_a_plain_check(spark, made_docs, fresh, options):
+    """The query's rows from the contract's words alone: ids by the library, pieces, places, and no waste that best fit would not have."""
+    rows = [*ODD_ROWS, *((100 + i, t) for i, t in enumerate(SPECIAL)), *((200 + i, "word " * n) for i, n in enumerate(range(0, 3000, 37)))]
+    rows = [(i, t) for i, t in enumerate(t for _, t in rows)]
+    found = packing.pack(made_docs(rows), **options).collect()
+    whole = {i: [*fresh.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
+    got, bins = {}, {}
+    for r in found:
+        got.setdefault(r["doc_id"], []).append(r)
+        bins.setdefault(r["sequence_id"], []).append(r)
+    assert set(got) == set(whole)
+    for doc, some in got.items():
+        some.sort(key=lambda r: r["piece"])
+        assert [r["piece"] for r in some] == list(range(len(some)))
+        at = 0
+        for r in some:
+            ids = whole[doc][at : at + r["length"]]
+            assert (r["start"], len(ids)) == (at, r["length"])
+            assert r["ids_crc32"] == zlib.crc32(b"".join(struct.pack("<I", i) for i in ids))
+            at += r["length"]
+        assert at == len(whole[doc]) and all(r["length"] == 1024 for r in some[1:])
+    for some in bins.values():
+        at = 0
+        for r in sorted(some, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+    fill = sorted(sum(r["length"] for r in some) for some in bins.values())
+    least = -(-sum(map(len, whole.values())) // 1024)
+    assert len(bins) <= least * (1.03 if not options else 1.15) + 1
+    assert options or fill[0] + fill[1] > 1024
