@@ -1,0 +1,90 @@
+"""The interval join against every pair of rows, and its plan."""
+
+from __future__ import annotations
+
+import random
+import re
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_module
+from helpers import rows_of, settings
+from wardbook.functions.intervals import within_intervals
+from wardbook.plans import ledger
+from wardbook.sources.fixtures import fixture_tables
+
+EPOCH = datetime(1970, 1, 1)
+
+
+def moments(spark, rows, names):
+    fields = ", ".join(f"{name} {'int' if name in {'id', 'year'} else 'timestamp_ntz'}" for name in names)
+    return spark.createDataFrame(rows, fields)
+
+
+def joined_plainly(points, intervals):
+    return sorted(
+        (p, i) for p, at in points for i, begin, end in intervals if None not in (at, begin, end) and begin <= at <= end
+    )
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_interval_join_equals_every_pair(spark, seed):
+    rng = random.Random(seed)
+
+    def moment(spread):
+        return EPOCH + timedelta(days=rng.randint(-spread, spread), minutes=rng.choice([0, 0, 1, 720, 1439]))
+
+    points = [(n, moment(800) if rng.random() < 0.9 else None) for n in range(150)]
+    intervals = []
+    for n in range(40):
+        begin = moment(800)
+        end = begin + timedelta(days=rng.choice([0, 0, 1, 2, 3, 7, 30, 364, 365, 511, 512, 513, -5]), minutes=rng.randint(0, 3))
+        intervals.append((n, rng.choice([begin, begin, begin, None]), rng.choice([end, end, end, None])))
+    intervals += [(100, datetime(1900, 1, 1), datetime(9999, 12, 31)), (101, points[0][1] or EPOCH, points[0][1] or EPOCH)]
+    found = within_intervals(
+        moments(spark, points, ["id", "at"]), "at", moments(spark, intervals, ["year", "begin", "end"]), "begin", "end"
+    )
+    assert rows_of(found, "id", "year") == sorted(joined_plainly(points, intervals), key=lambda row: [str(v) for v in row])
+
+
+def test_interval_join_of_nothing(spark):
+    points = moments(spark, [(1, EPOCH)], ["id", "at"])
+    none = moments(spark, [], ["year", "begin", "end"])
+    assert within_intervals(points, "at", none, "begin", "end").count() == 0
+    empty = moments(spark, [], ["id", "at"])
+    one = moments(spark, [(1, EPOCH, EPOCH)], ["year", "begin", "end"])
+    assert within_intervals(empty, "at", one, "begin", "end").count() == 0
+    with pytest.raises(ValueError, match="same name"):
+        within_intervals(points, "at", one.withColumnRenamed("year", "at"), "begin", "end")
+
+
+def test_a_long_interval_is_listed_twice_at_most(spark):
+    """An open end far away must not be listed bin by bin."""
+    points = moments(spark, [(n, EPOCH + timedelta(days=n)) for n in range(100)], ["id", "at"])
+    ever = moments(spark, [(n, EPOCH - timedelta(days=n), datetime(9999, 12, 31)) for n in range(100)], ["year", "begin", "end"])
+    with settings(spark, spark__sql__adaptive__enabled="false"):
+        found = within_intervals(points, "at", ever, "begin", "end")
+        assert found.count() == 10_000
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" in plan
+
+
+def test_no_pairs_are_compared_for_all_years(spark, small_dir):
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+    ):
+        report = ledger.corporate_billing_all_years(fixture_tables(spark, small_dir))
+        plan = report._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("NestedLoop|CartesianProduct", plan)
+    assert re.search(r"SortMergeJoin \[__level#\d+, __bin#\d+", plan)
+
+
+def test_a_year_of_all_years_is_the_report_of_that_year(spark, small_dir):
+    tables = fixture_tables(spark, small_dir)
+    year = entry_module.PARAMETERS["corporate_billing_monthly"]["year"]
+    whole = ledger.corporate_billing_all_years(tables).where(F.col("year_code") == year).drop("year_code")
+    assert rows_of(whole) == rows_of(ledger.corporate_billing_monthly(tables, year))

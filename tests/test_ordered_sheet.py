@@ -1,0 +1,130 @@
+"""The numbered sheet: order, counts and the manifest, also when tasks or jobs fail."""
+
+from __future__ import annotations
+
+import json
+import subprocess
+import sys
+from pathlib import Path
+
+import pyarrow as pa
+import pyarrow.csv
+import pytest
+from pyspark.sql import functions as F
+
+from wardbook.sinks.ordered import MANIFEST, NumberedParts, manifest_of, read_numbered, write_numbered
+
+ROOT = Path(__file__).resolve().parent.parent
+
+
+def report(spark, rows=1000):
+    return spark.range(rows).select(
+        F.col("id").alias("receive_no"),
+        F.lit("2024-03-05 10:00:00").cast("timestamp_ntz").alias("receive_date"),
+        F.when(F.col("id") % 3 == 0, F.lit('a "quoted", text\nof two lines')).alias("remarks"),
+    )
+
+
+def numbers(folder):
+    """The numbers in the sheet as a reader of its files finds them, part by part."""
+    manifest = manifest_of(str(folder))
+    assert [p["part"] for p in manifest["parts"]] == list(range(len(manifest["parts"])))
+    found = []
+    for part in manifest["parts"]:
+        assert part["first_row"] == len(found)
+        rows = pa.csv.read_csv(f"{folder}/{part['file']}", parse_options=pa.csv.ParseOptions(newlines_in_values=True))
+        assert rows.num_rows == part["rows"]
+        found += rows["receive_no"].to_pylist()
+    assert manifest["rows"] == len(found)
+    return found
+
+
+def test_order_and_counts(spark, tmp_path):
+    folder = tmp_path / "sheet"
+    write_numbered("client_receipts", report(spark).orderBy(F.desc("receive_no")), str(folder))
+    assert numbers(folder) == list(range(999, -1, -1))
+    listed = {part["file"] for part in manifest_of(str(folder))["parts"]} | {MANIFEST}
+    assert {p.name for p in folder.iterdir()} == listed
+    rows = read_numbered(spark, str(folder)).collect()
+    assert len(rows) == 1000 and {row["receive_date"] for row in rows} == {"05-Mar-2024"}
+    assert sorted(int(row["receive_no"]) for row in rows) == list(range(1000))
+    assert {row["remarks"] for row in rows} == {'a "quoted", text\nof two lines', None}
+
+
+def test_a_sheet_is_replaced_only_when_asked(spark, tmp_path):
+    folder = str(tmp_path / "sheet")
+    write_numbered("client_receipts", report(spark, 10), folder)
+    with pytest.raises(Exception, match="not empty"):
+        write_numbered("client_receipts", report(spark, 5), folder)
+    assert numbers(folder) == list(range(10))
+    write_numbered("client_receipts", report(spark, 5).repartition(2).sortWithinPartitions("receive_no"), folder, True)
+    assert sorted(numbers(folder)) == list(range(5))
+    assert len(list(Path(folder).iterdir())) == 1 + len(manifest_of(folder)["parts"])
+
+
+def test_an_empty_sheet_is_finished_too(spark, tmp_path):
+    folder = str(tmp_path / "sheet")
+    write_numbered("client_receipts", report(spark, 0), folder)
+    assert manifest_of(folder)["rows"] == 0 and read_numbered(spark, folder).count() == 0
+
+
+def batches(values):
+    yield pa.RecordBatch.from_pydict({"receive_no": values})
+
+
+def test_only_committed_attempts_are_in_the_sheet(tmp_path):
+    writer = NumberedParts(str(tmp_path / "s"), ["receive_no"], False)
+
+    def fails():
+        yield from batches([7])
+        raise OSError("lost executor")
+
+    with pytest.raises(OSError, match="lost"):
+        writer.write_part(fails(), 1, 10)
+    stale = writer.write_part(batches([7]), 1, 11)
+    good = [writer.write_part(batches([5, 6]), 0, 12), writer.write_part(batches([7, 8]), 1, 13), writer.write_part(iter([]), 2, 14)]
+    writer.commit([good[2], good[1], good[0]])
+    assert numbers(tmp_path / "s") == [5, 6, 7, 8]
+    assert stale.name not in {p.name for p in (tmp_path / "s").iterdir()}
+
+
+def test_a_failed_job_leaves_the_finished_sheet(tmp_path):
+    writer = NumberedParts(str(tmp_path / "s"), ["receive_no"], False)
+    writer.commit([writer.write_part(batches([1]), 0, 1)])
+    again = NumberedParts(str(tmp_path / "s"), ["receive_no"], True)
+    again.abort([again.write_part(batches([2]), 0, 2), None])
+    assert numbers(tmp_path / "s") == [1] and len(list((tmp_path / "s").iterdir())) == 2
+
+
+RETRIED = """
+import json, sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from wardbook.sinks.ordered import manifest_of, write_numbered
+
+def once_lost(batches):
+    for batch in batches:
+        yield batch
+    context = TaskContext.get()
+    if context.attemptNumber() == 0 and context.partitionId() in (1, 3):
+        raise OSError("lost executor")
+
+spark = (SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+spark.sparkContext.setLogLevel("OFF")
+rows = spark.range(0, 400, 1, 4).withColumnRenamed("id", "receive_no").mapInArrow(once_lost, "receive_no long")
+write_numbered("users", rows, sys.argv[1])
+print(json.dumps(manifest_of(sys.argv[1])["rows"]))
+spark.stop()
+"""
+
+
+def test_retried_tasks_are_counted_once(tmp_path):
+    """Two of four tasks fail after they have written their whole part, and run again."""
+    done = subprocess.run(
+        [sys.executable, "-c", RETRIED, str(tmp_path / "sheet")], cwd=ROOT, capture_output=True, text=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert json.loads(done.stdout.strip().splitlines()[-1]) == 400
+    assert numbers(tmp_path / "sheet") == list(range(400))
+    assert len(list((tmp_path / "sheet").iterdir())) == 5

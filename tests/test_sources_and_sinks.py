@@ -9,11 +9,12 @@ from decimal import Decimal
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows_of
 from wardbook.plans.registry import REPORTS
 from wardbook.sinks.reports import SHEET_DATE_COLUMNS, sheet, write_rows, write_sheet, write_table
-from wardbook.sources.catalog import Tables, declared_columns
+from wardbook.sources.catalog import Tables, declared_columns, number_ranges
 from wardbook.sources.fixtures import FIXTURES, fixture_tables
 from wardbook.sources.schemas import FACTS, OWNERS, SCHEMAS
 
@@ -100,6 +101,51 @@ def test_database_tables_are_read_in_parallel_ranges(spark, world):
     }
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 7, 50])
+@pytest.mark.parametrize(("low", "high"), [(0, 0), (1, 10), (-7, 6), (5, 104), (-(2**40), 2**40), (None, None)])
+def test_number_ranges_share_every_row_once(spark, low, high, parts):
+    conditions = number_ranges("k", low, high, parts)
+    assert len(conditions) <= parts + 2
+    around = [None, low, high, *(v + d for v in (low or 0, high or 0) for d in (-1, 1)), 0, 3, 10**15]
+    rows = spark.createDataFrame([(v,) for v in {*around, *range(-9, 110)}], "k bigint")
+    met = sum(F.coalesce(F.expr(c), F.lit(False)).cast("int") for c in conditions)
+    assert [row[0] for row in rows.select(met.alias("met")).distinct().collect()] == [1]
+
+
+class SharedReader(Reader):
+    """Answers the query for bounds with one row, and the shares with the table."""
+
+    def __init__(self, bounds, frame):
+        super().__init__(bounds)
+        self.rows = frame
+
+    def jdbc(self, url, table, predicates, properties):
+        self.asked = {"url": url, "table": table, "predicates": predicates, "properties": properties}
+        return self.rows
+
+
+@pytest.mark.parametrize(
+    ("bounds", "conditions"),
+    [
+        ("decimal(38,0) '1' as low, decimal(38,0) '10' as high", ["mrno < 6", "mrno >= 6", "mrno IS NULL"]),
+        ("cast(null as int) as low, cast(null as int) as high", ["mrno IS NOT NULL", "mrno IS NULL"]),
+    ],
+)
+def test_database_tables_find_their_own_bounds(spark, world, bounds, conditions):
+    text = bounds.replace("decimal(38,0) '", "cast('").replace("' as", "' as decimal(38,0)) as")
+    reader = SharedReader(spark.sql(f"select {text}"), world(users=[{"mrno": 7}]).users)
+    tables = Tables.from_jdbc(reader, "jdbc:x", {"user": "u"}, shares={"users": ("mrno", 2)})
+    assert rows_of(tables.users, "mrno") == [(7,)]
+    assert reader.said["dbtable"] == "(SELECT MIN(mrno) AS low, MAX(mrno) AS high FROM security.users) bounds"
+    assert reader.said["user"] == "u" and "customSchema" not in reader.said
+    assert reader.asked == {
+        "url": "jdbc:x",
+        "table": "security.users",
+        "predicates": conditions,
+        "properties": {"user": "u", "customSchema": SCHEMAS["users"], "preferTimestampNTZ": "true", "fetchsize": "10000"},
+    }
+
+
 def test_facts_are_not_read_through_one_connection(world):
     tables = Tables.from_jdbc(Reader(world().inventory_ledger), "u", {})
     with pytest.raises(ValueError, match="inventory_ledger"):

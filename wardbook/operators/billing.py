@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from wardbook.functions.joins import join_reduced
 from wardbook.functions.moments import Moment, from_until, last_days
 from wardbook.functions.predicates import matches_if_given
-from wardbook.operators.ranges import near
+from wardbook.operators.ranges import in_months_of, near
 from wardbook.sources.catalog import Tables
+from wardbook.sources.clustered import MONTH
 
 # The description of the emergency location, which reports take
 # as a parameter, and the stream names of the revenue dashboard.
@@ -41,8 +42,9 @@ PLACE = ["location_id", "order_location_id"]
 
 @dataclass(frozen=True)
 class Encounters:
-    """Documents of a report: ``met`` after all joins, ``candidates`` a superset from headers alone.
+    """Documents of a report: ``met`` after all joins, ``candidates`` a superset that few joins give.
 
+    Candidates only bound what is scanned of the lines, by number or by month.
     ``dated`` says that a condition on the headers themselves picks the
     candidates; then Spark can make a filter of their numbers for the lines.
     """
@@ -95,16 +97,23 @@ def bill_lines(tables: Tables) -> tuple[DataFrame, DataFrame]:
         *shared,
         "qty",
         "amount",
+        *by_month(tables.invoice_master_bill_dist),
     )
     returned = tables.return_master_bill_dist.select(
         F.col("return_no").alias("doc_no"),
         *shared,
         (-F.col("qty")).cast("decimal(18,2)").alias("qty"),
         (-F.col("amount")).cast("decimal(18,2)").alias("amount"),
+        *by_month(tables.return_master_bill_dist),
     )
     return billed, returned
 
 
+def by_month(lines: DataFrame) -> list[str]:
+    """The month column of lines that are stored by month."""
+    return [MONTH] if MONTH in lines.columns else []
+
+
 def lines_of(
     tables: Tables, encounters: Encounters, met: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +126,7 @@ def lines_of(
     def side(lines: DataFrame, is_return: bool) -> DataFrame:
         of_side = F.col("is_return") == F.lit(is_return)
         candidates = encounters.candidates.where(of_side)
-        rows = near(tables, lines, "doc_no", candidates)
+        rows = in_months_of(near(tables, lines, "doc_no", candidates), candidates, "doc_date")
         if encounters.dated:
             # Says nothing new, but lets a runtime filter see the dates behind the joins of ``met``.
             rows = rows.join(candidates.select("doc_no"), "doc_no", "left_semi")
@@ -202,8 +211,9 @@ def admitted_encounters(
         "discharge_date",
         "order_admission_type",
     )
-    candidates = near(tables, documents(tables), "admission_no", finals)
-    at = located(tables, candidates, there if emergency else ~there)
+    headers = near(tables, documents(tables), "admission_no", finals)
+    candidates = join_reduced(headers, finals.distinct(), ["admission_no"], "left_semi")
+    at = located(tables, headers, there if emergency else ~there)
     return Encounters(candidates, at.join(stays(tables, admissions, filters), STAY))
 
 
@@ -330,10 +340,11 @@ def recent_stays(
     admissions = join_reduced(
         admitted.select(*STAY, *ORDER, "doctor_id"), counted, ["admission_no"]
     )
-    candidates = near(tables, documents(tables), "admission_no", finals)
+    headers = near(tables, documents(tables), "admission_no", finals)
+    candidates = join_reduced(headers, counted.select("admission_no"), ["admission_no"], "left_semi")
     emergency = F.col("order_location") == emergency_place
     met = (
-        located(tables, candidates, F.col("order_location").isNotNull())
+        located(tables, headers, F.col("order_location").isNotNull())
         .join(stays(tables, admissions, None), STAY)
         .select(
             *DOCUMENT,

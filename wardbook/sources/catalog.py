@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 from wardbook.sources.schemas import FACTS, OWNERS, SCHEMAS
 
@@ -22,22 +22,49 @@ def declared_columns(table: str) -> list[tuple[str, str]]:
     return [tuple(column.split(" ", 1)) for column in SCHEMAS[table].split(", ")]
 
 
-def conform(frame: DataFrame, table: str, empty_as_null: bool = False) -> DataFrame:
+def conform(
+    frame: DataFrame,
+    table: str,
+    empty_as_null: bool = False,
+    extra: Iterable[tuple[str, str]] = (),
+) -> DataFrame:
     """Project a frame to the declared columns and types.
 
     A cast to the type a column already has is dropped by the optimizer, so
     filters still reach the scan.  ``empty_as_null`` turns empty texts into
     NULL, as the source database does by itself; it is off by default because
     it hides text columns from filter pushdown and files exported from that
-    database hold no empty texts.
+    database hold no empty texts. ``extra`` columns are those of a layout of
+    our own, kept beside the declared ones.
     """
     projected = []
-    for name, kind in declared_columns(table):
+    for name, kind in [*declared_columns(table), *extra]:
         text = f"nullif(`{name}`, '')" if empty_as_null and kind == "string" else f"`{name}`"
         projected.append(f"cast({text} as {kind}) as `{name}`")
     return frame.selectExpr(*projected)
 
 
+def number_ranges(column: str, low: int | None, high: int | None, parts: int) -> list[str]:
+    """Conditions that share a table out by a whole-number column: every row meets one and only one.
+
+    The outer ranges are open and NULLs have a condition of their own, so rows
+    that came after the bounds were read are not missed either.
+    """
+    if parts < 1:
+        raise ValueError(f"a table is read in one part at least, got {parts}")
+    width = 1 if low is None or high is None else -(-(high - low + 1) // parts)
+    cuts = [] if low is None or high is None else list(range(low + width, high + 1, width))
+    if not cuts:
+        return [f"{column} IS NOT NULL", f"{column} IS NULL"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [f"{column} < {cuts[0]}", *inner, f"{column} >= {cuts[-1]}", f"{column} IS NULL"]
+
+
+def bounds_query(relation: str, column: str) -> str:
+    """One row: the smallest and the largest value of a column."""
+    return f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {relation}) bounds"
+
+
 class Tables:
     """Lazy catalog of source tables, reached as attributes or by name.
 
@@ -54,8 +81,10 @@ class Tables:
         load: Callable[[str], DataFrame],
         names: Iterable[str] = SCHEMAS,
         empty_as_null: bool = False,
+        extra: Mapping[str, Iterable[tuple[str, str]]] | None = None,
     ):
         self._load = load
+        self._extra = dict(extra or {})
         self._names = frozenset(names)
         self._empty_as_null = empty_as_null
         self._frames: dict[str, DataFrame] = {}
@@ -64,7 +93,9 @@ class Tables:
         if name not in self._names:
             raise KeyError(f"no source table named {name!r}")
         if name not in self._frames:
-            self._frames[name] = conform(self._load(name), name, self._empty_as_null)
+            self._frames[name] = conform(
+                self._load(name), name, self._empty_as_null, self._extra.get(name, ())
+            )
         return self._frames[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -108,6 +139,7 @@ class Tables:
         url: str,
         properties: Mapping[str, str],
         splits: Mapping[str, Mapping[str, str]] | None = None,
+        shares: Mapping[str, tuple[str, int]] | None = None,
         relations: Mapping[str, str] | None = None,
     ) -> Tables:
         """Catalog over the live database, ``<owner>.<table>`` through JDBC.
@@ -116,25 +148,32 @@ class Tables:
         a subquery that calls the database's own item label function.
 
         ``splits`` gives, per table, the ``partitionColumn``, ``lowerBound``,
-        ``upperBound`` and ``numPartitions`` of a parallel read.  A table
-        without an entry is read through one connection; for a table that grows
-        with the hospital's work (``FACTS``) that is a ``ValueError``, raised when
-        a report asks for it.  Columns are read with their declared types, so
+        ``upperBound`` and ``numPartitions`` of a parallel read.  ``shares`` gives
+        a whole-number column and a number of parts instead: one aggregate query
+        finds the bounds when a report first asks for the table, and NULLs are a
+        part of their own (``number_ranges``).  A table without an entry is read
+        through one connection; for a table that grows with the hospital's work
+        (``FACTS``) that is a ``ValueError``, raised when a report asks for it.  Columns are read with their declared types, so
         no cast stands between a filter and the database.
         """
 
         def load(name: str) -> DataFrame:
-            if name in FACTS and name not in (splits or {}):
-                raise ValueError(f"{name} is too large for one connection: give it an entry in splits")
-            reader = (
-                spark.read.format("jdbc")
-                .option("url", url)
-                .option("customSchema", SCHEMAS[name])
-                .option("fetchsize", str(FETCH_ROWS))
-                .option("dbtable", (relations or {}).get(name, f"{OWNERS[name]}.{name}"))
-                .option("preferTimestampNTZ", "true")
-                .options(**properties)
-            )
-            return reader.options(**(splits or {}).get(name, {})).load()
+            if name in FACTS and name not in {**(splits or {}), **(shares or {})}:
+                raise ValueError(f"{name} is too large for one connection: give it an entry in splits or shares")
+            relation = (relations or {}).get(name, f"{OWNERS[name]}.{name}")
+
+            def reading(of: str, **more: str) -> DataFrameReader:
+                options = {"url": url, "fetchsize": str(FETCH_ROWS), "dbtable": of, **properties, **more}
+                return spark.read.format("jdbc").options(**options)
+
+            declared = {"customSchema": SCHEMAS[name], "preferTimestampNTZ": "true"}
+            if shares and name in shares:
+                column, parts = shares[name]
+                bounds = reading(bounds_query(relation, column)).load().first()
+                low, high = (None if value is None else int(value) for value in bounds)
+                conditions = number_ranges(column, low, high, parts)
+                connection = {**properties, **declared, "fetchsize": str(FETCH_ROWS)}
+                return spark.read.jdbc(url, relation, predicates=conditions, properties=connection)
+            return reading(relation, **declared, **(splits or {}).get(name, {})).load()
 
         return cls(load)
