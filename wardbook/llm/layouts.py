@@ -77,6 +77,8 @@ class Layout:
                 "### ".join(self.word() for _ in range(self.rng.randint(2, 9))),
                 f"(c) {self.rng.randint(1990, 2030)} {self.words(1, 3)}.",
                 "All rights reserved.",
+                self.words(1, 2),
+                self.words(1, 6),
                 f"+{self.rng.randint(1, 99)} {self.rng.randint(1000, 99999)} {self.rng.randint(1000, 99999)}",
             ]
         )
@@ -85,8 +87,8 @@ class Layout:
         if self.rng.random() < self.terse:
             high = min(high, max(low, 2))
         text = " ".join(self.sentence() for _ in range(self.rng.randint(low, high)))
-        if self.rng.random() < 0.15:
-            return self.rng.choice([self.aside(), text + " " + self.aside(), self.aside() + " " + text]).strip()
+        if self.rng.random() < 0.25:
+            return self.rng.choice([self.aside(), self.aside(), text + " " + self.aside(), self.aside() + " " + text]).strip()
         return text
 
     def link(self, text: str) -> str:
@@ -158,12 +160,12 @@ class Layout:
         """The main text, with what sites put between its paragraphs."""
         between: list[Callable[[], str]] = [self.advert, self.related, self.notice, self.form]
         item = self.rng.choice([lambda: self.words(1, 4), lambda: self.prose(1, 2)])
-        parts = [] if self.rng.random() < 0.2 else [self.block("h1", MAIN, self.words(3, 12).capitalize())]
+        parts = [] if self.rng.random() < 0.35 else [self.block("h1", MAIN, self.words(3, 12).capitalize())]
         if parts and self.rng.random() < 0.2:
             parts = [f"<header>{parts[0]}</header>"]
         if self.rng.random() < 0.2:
             parts.append(self.region("share", self.links(2, 4)))
-        for _ in range(self.rng.choice([1, 2, 4, 8, 14, 25])):
+        for _ in range(self.rng.choice([1, 1, 2, 2, 4, 8, 14, 25])):
             kind = self.rng.random()
             if kind < 0.75:
                 parts.append(self.mixed())
@@ -193,7 +195,7 @@ class Layout:
     def page(self) -> str:
         """A whole page; each block starts with ``MAIN`` or ``OTHER``."""
 
-        alone = self.rng.random() < 0.15
+        alone = self.rng.random() < 0.25
 
         def maybe(chance: float, make: Callable[[], str]) -> str:
             return make() if not alone and self.rng.random() < chance else ""
