@@ -31,8 +31,9 @@ def counts_of(texts, max_words):
 def collocated_plainly(rows, max_words, min_count, top, contained):
     """Rows of the query by the contract's words, from ``(lang, text)``."""
     out = []
-    for lang in {lang or "und" for lang, _ in rows}:
-        found = counts_of([t for own, t in rows if (own or "und") == lang], max_words)
+    rows = [("und" if lang is None else lang, t) for lang, t in rows]
+    for lang in {lang for lang, _ in rows}:
+        found = counts_of([t for own, t in rows if own == lang], max_words)
         n = sum(c for p, c in found.items() if len(p) == 1)
         often = {p: c for p, c in found.items() if len(p) > 1 and c >= min_count}
         scored = []
@@ -63,11 +64,11 @@ def table_of(spark, rows):
         {"max_words": 2, "min_count": 1, "top": 1000, "contained": 80},
     ],
 )
-@pytest.mark.parametrize("modulus", [1, 3, 1000])
+@pytest.mark.parametrize("modulus", [1, 3])
 def test_collocations_against_plain_counts(spark, documents, options, modulus):
     rows = [(None if i == 3 else "en", t) for i, (_, t) in enumerate(ODD_ROWS) if t is None or len(t) < 2000]
     rows += [("en", "The the THE the. the the, of the; É é É é a\tb  a b\r\na b"), ("", "x y x y"), ("en", "the the the"), ("fr", None)]
-    rows += [(r["lang"], r["text"][:1500]) for r in documents.orderBy("doc_id").limit(25).collect()]
+    rows += [(r["lang"], r["text"][:500]) for r in documents.orderBy("doc_id").limit(8).collect()]
     found = phrases.collocations(table_of(spark, rows), modulus=modulus, **options).collect()
     assert sorted(tuple(r) for r in found) == collocated_plainly(rows, **options)
 
