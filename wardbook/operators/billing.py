@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardbook.functions.distincts import counted, numbered_partials
 from wardbook.functions.joins import join_reduced
 from wardbook.functions.moments import Moment, from_until, last_days
 from wardbook.functions.predicates import matches_if_given
@@ -285,7 +286,7 @@ def revenue_as_bag(tables: Tables, encounters: Encounters, filters: Filters) ->
     billed, returned = lines_of(tables, encounters, met)
     lines = per_document(billed).unionByName(per_document(returned))
     named = with_names(tables, lines, filters.sub_ledger, each_name_once=False)
-    return revenue_totals(named, F.col("amount"))
+    return revenue_totals(tables, named, F.col("amount"))
 
 
 def revenue_as_set(
@@ -314,10 +315,19 @@ def revenue_as_set(
 
     billed, returned = lines_of(tables, encounters, told_apart)
     lines = once(billed).unionByName(once(returned))
-    return revenue_totals(lines, F.col("amount") * F.col("copies").cast("decimal(9,0)"))
+    return revenue_totals(tables, lines, F.col("amount") * F.col("copies").cast("decimal(9,0)"))
 
 
-def revenue_totals(lines: DataFrame, amount: Column) -> DataFrame:
+def revenue_totals(tables: Tables, lines: DataFrame, amount: Column) -> DataFrame:
+    """Invoices and amounts by name.
+
+    Where a catalog says ``count_by_bits``, invoices are counted as sets of bits and the lines are
+    not dealt out by their numbers again; each group then holds 4 KB for every 32,768 numbers it has one of.
+    """
+    if tables.count_by_bits:
+        partials = numbered_partials(lines, REVENUE_GROUP, "invoice_no", total=amount)
+        totals = counted(partials, REVENUE_GROUP, "invoice_count", ["total"])
+        return totals.withColumn("total", F.col("total").cast("decimal(28,2)"))
     return lines.groupBy(*REVENUE_GROUP).agg(
         F.count_distinct("invoice_no").alias("invoice_count"),
         F.sum(amount).cast("decimal(28,2)").alias("total"),

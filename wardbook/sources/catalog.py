@@ -72,9 +72,13 @@ class Tables:
     admission numbers are given out in sequence.  Reports on a window of time
     then bound the numbers they look for before they scan lines and orders,
     which pays on large tables.  It never changes a result, whatever the numbers are like.
+
+    Set ``count_by_bits`` to True where a group of a revenue report has many of the invoice
+    numbers that lie close together (500 in 32,768 or more): these are then counted as sets of bits.
     """
 
     numbers_follow_time = False
+    count_by_bits = False
 
     def __init__(
         self,
