@@ -470,6 +470,12 @@ SELECT receivable.total_receivable, used.consumption_qty AS consumption_quantity
 FROM ({figures['kpi_total_receivable']}) receivable, ({figures['kpi_consumption']}) used,
   ({figures['kpi_client_receipts']}) receipts, ({figures['kpi_donations']}) gifts,
   ({figures['kpi_debtor_billing']}) billed, ({figures['kpi_pharmacy_consumption']}) pharmacy""",
+        "rolling_figures": f"""
+SELECT 'client_receipts' AS figure, CAST(NULL AS DECIMAL(28,2)) AS quantity,
+  CAST(gross_amount AS DECIMAL(38,6)) AS amount FROM ({figures['kpi_client_receipts']}) r
+UNION ALL SELECT 'consumption', consumption_qty, consumption_value FROM ({figures['kpi_consumption']}) c
+UNION ALL SELECT 'debtor_billing', NULL, CAST(billing AS DECIMAL(38,6)) FROM ({figures['kpi_debtor_billing']}) b
+UNION ALL SELECT 'donations', NULL, CAST(donation_amount AS DECIMAL(38,6)) FROM ({figures['kpi_donations']}) d""",
         "panel_inpatient": panel("ipd"),
         "panel_emergency": panel("ear"),
         "panel_outpatient": panel("opd", "total_amt"),
