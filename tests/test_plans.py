@@ -343,3 +343,66 @@ def test_details_without_a_letter_are_dealt_out_by_invoice(spark, no_broadcast):
     plan = plan_of(report)
     assert re.search(r"Exchange hashpartitioning\(letter#", plan)
     assert not re.search(r"Exchange hashpartitioning\(ref_letter_no#", plan)
+
+
+def below(plan: list[str], at: int, word: str) -> list[str]:
+    """The lines of the subtree whose top is ``word`` in line ``at``: those that begin deeper."""
+    depth = plan[at].index(word)
+    rest = plan[at + 1 :]
+    end = next((n for n, line in enumerate(rest) if re.search(r"[A-Za-z]", line).start() <= depth), len(rest))
+    return rest[:end]
+
+
+@pytest.mark.parametrize("key", ["debtor_aging_open", "debtor_aging_settled"])
+def test_lookups_are_aggregated_for_asked_keys_only(key, tables):
+    """Letters and admissions meet the keys of the chosen details below their grouping, not after it."""
+    report = REPORTS[key](tables, **entry_module.PARAMETERS.get(key, {}))
+    plan = report._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    for aggregate, source in (("max(admission_date#", "admission_date#"), ("min(client_ref_no#", "client_ref_no#")):
+        at = [n for n, line in enumerate(plan) if "Aggregate [" in line and aggregate in line]
+        inner = max(at)
+        subtree = below(plan, inner, "Aggregate")
+        relation = next(n for n, line in enumerate(subtree) if "Relation [" in line and source in line)
+        assert any("Join LeftSemi" in line for line in subtree[:relation]), subtree
+
+
+def scans_run(frame) -> list[str]:
+    """The scans that an executed adaptive plan really ran: those of final plans, without what was read again."""
+    found, final = [], False
+    for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+        if "== Final Plan ==" in line or "== Initial Plan ==" in line:
+            final = "Final" in line
+        elif final and "FileScan" in line:
+            found.append(line)
+    return found
+
+
+def test_front_page_scans_invoices_once(spark, world, tmp_path):
+    """Both figures of invoices, one of them a join of the table with itself, come from one scan."""
+    rows = [
+        {"final_invoice_no": n, "client_invoice_no": 1 + n % 7, "client_id": "c1", "mrno": 7, "process_id": 1,
+         "final_invoice_date": "2024-03-05", "final_invoice_type": "RHIO"[n % 4], "net_receivable": 10 * n, "received_amount": n}
+        for n in range(1, 60)
+    ]
+    made = world(final_invoice_master=rows, client=[{"client_id": "c1", "name": "P"}], v_patient=[{"mrno": 7, "name": "Q"}])
+    stored = ("final_invoice_master", "client", "v_patient")
+    for name in stored:
+        made[name].write.parquet(f"{tmp_path}/{name}")
+    ward = Tables(lambda name: spark.read.parquet(f"{tmp_path}/{name}") if name in stored else made[name])
+    page = REPORTS["kpi_dashboard"](ward, as_of="2024-03-31", cutoff="2024-01-01", transfer_start="2024-01-01", transfer_end="2024-02-01")
+    row = page.first()
+    page.collect()
+    assert row.total_receivable == REPORTS["kpi_total_receivable"](ward, cutoff="2024-01-01").first()[0] > 0
+    assert row.total_debtor_billing == REPORTS["kpi_debtor_billing"](ward, as_of="2024-03-31").first()[0] > 0
+    assert len({line.strip(" :+-") for line in scans_run(page) if "net_receivable" in line}) == 1
+
+
+@pytest.mark.parametrize("key", ["debtor_aging_open", "debtor_aging_settled"])
+def test_chosen_details_are_shuffled_once(spark, small_dir, key):
+    """Three branches read the distinct details; they are made once."""
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        report = REPORTS[key](fixture_tables(spark, small_dir), **entry_module.PARAMETERS.get(key, {}))
+        report.collect()
+        plan = report._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert final.count("ReusedExchange") >= 2

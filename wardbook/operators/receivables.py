@@ -49,70 +49,78 @@ def open_invoices(tables: Tables, client_invoices: DataFrame) -> DataFrame:
     return join_reduced(invoices, client_invoices, ["client_invoice_no"], "left_semi")
 
 
-def invoice_figures(tables: Tables, cutoff: Moment, billed: Column) -> tuple[DataFrame, DataFrame]:
-    """Remaining sum of all open client invoices, and the sum of ``billed`` client invoices, from one scan.
+def invoice_figures(tables: Tables, cutoff: Moment, billed: Column) -> DataFrame:
+    """One row: what remains on all open client invoices, and the sum of ``billed`` client invoices, from one scan.
 
     Each invoice is listed once for every part it plays: as an unpaid client
     invoice under its own number, as an open one under the number it is billed
-    through, as a billed one under none. Sums by part, number, client and patient
-    are the only thing shuffled. What follows reads that shuffle again instead of the
-    table; its filters need both sums and parts, so they stay above it.
+    through, as a billed one under none. Sums by number, client and patient are
+    the only thing shuffled, and all that follows reads that one shuffle again
+    instead of the table. For that no branch may ask the listing for less than
+    the others: keys are never NULL, so that no join adds a filter to them, and each branch's filter holds all sums.
     """
-    nothing = {
-        "client_id": F.lit(None).cast("string"),
-        "mrno": F.lit(None).cast("bigint"),
-        "amount": F.lit(None).cast("decimal(28,2)"),
-    }
-
-    def part(name: str, number: Column, **columns: Column) -> Column:
-        cells = {"part": F.lit(name), "number": number, **nothing, **columns}
-        return F.struct(*(cell.alias(key) for key, cell in cells.items()))
-
     remaining = or_zero("net_receivable") - or_zero("received_amount")
     client_invoice = F.col("final_invoice_type").isin(CLIENT_INVOICE_TYPES)
     unpaid = (
         (or_zero("net_receivable") > or_zero("received_amount"))
         & client_invoice
         & (F.col("final_invoice_date") > literal(parse_moment(cutoff, "cutoff")))
+        & F.col("final_invoice_no").isNotNull()
     )
     outstanding = F.coalesce(F.abs("net_receivable"), F.lit(0)) - or_zero("received_amount") > 0
-    known = F.col("client_id").isNotNull() & F.col("mrno").isNotNull()
+    known = F.col("client_id").isNotNull() & F.col("mrno").isNotNull() & F.col("client_invoice_no").isNotNull()
+    none = F.lit(None)
+
+    def part(plays: Column, number=none, client=none, patient=none, unpaid=0, remains=none, billed=none) -> Column:
+        return F.struct(
+            F.coalesce(plays, F.lit(False)).alias("plays"),
+            number.cast("bigint").alias("number"),
+            client.cast("string").alias("client"),
+            patient.cast("bigint").alias("patient"),
+            F.lit(unpaid).alias("unpaid"),
+            remains.cast("decimal(28,2)").alias("remains"),
+            billed.cast("decimal(28,2)").alias("billed"),
+        )
+
     parts = F.array(
-        F.when(unpaid, part("unpaid", F.col("final_invoice_no"))),
-        F.when(
+        part(unpaid, F.col("final_invoice_no"), unpaid=1),
+        part(
             outstanding & known & F.col("final_invoice_type").isin(OPEN_TYPES),
-            part(
-                "open",
-                F.col("client_invoice_no"),
-                client_id=F.col("client_id"),
-                mrno=F.col("mrno"),
-                amount=remaining.cast("decimal(28,2)"),
-            ),
-        ),
-        F.when(
-            client_invoice & billed,
-            part("billed", F.lit(None).cast("bigint"), amount=F.col("net_receivable").cast("decimal(28,2)")),
+            F.col("client_invoice_no"),
+            F.col("client_id"),
+            F.col("mrno"),
+            remains=remaining,
         ),
+        part(client_invoice & billed, billed=F.col("net_receivable")),
     )
-    played = (
-        tables.final_invoice_master.select(F.inline(F.array_compact(parts)))
-        .where((F.col("part") == "billed") | F.col("number").isNotNull())
-        .groupBy("number", "client_id", "mrno", F.col("part").alias("played"))
-        .agg(F.max("part").alias("part"), F.sum("amount").alias("amount"))
+    listed = (
+        tables.final_invoice_master.select(F.inline(parts))
+        .where("plays")
+        .groupBy(
+            F.coalesce("number", F.lit(0)).alias("number"),
+            F.coalesce("client", F.lit("")).alias("client_id"),
+            F.coalesce("patient", F.lit(0)).alias("mrno"),
+        )
+        .agg(F.sum("unpaid").alias("unpaid"), F.sum("remains").alias("remains"), F.sum("billed").alias("billed"))
+        .withColumns({name: F.col(name).cast("decimal(28,2)") for name in ("remains", "billed")})
     )
-    numbers = played.where((F.col("part") == "unpaid") & F.col("amount").isNull()).select("number")
-    of_open = join_reduced(
-        played.where((F.col("part") == "open") & F.col("amount").isNotNull()), numbers, ["number"], "left_semi"
+    # True of any sums there can be, which only the optimizer does not know.
+    ever = F.col("unpaid") + or_zero("remains") + or_zero("billed") > F.lit("-1e30").cast("decimal(31,0)")
+    numbers = listed.where(ever & (F.col("unpaid") > 0)).select("number").distinct()
+    still_open = join_reduced(
+        listed.where(ever & F.col("remains").isNotNull()), numbers, ["number"], "left_semi"
     )
-    total = (
-        of_open.join(tables.client.select("client_id"), "client_id")
+    remaining_on = (
+        still_open.join(tables.client.select("client_id"), "client_id")
         .join(tables.v_patient.select("mrno"), "mrno")
-        .agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("total_receivable"))
-    )
-    billing = played.where((F.col("part") == "billed") & F.col("amount").isNotNull()).agg(
-        F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(28,2)").alias("billing")
+        .select("remains", none.cast("decimal(28,2)").alias("billed"))
     )
-    return total, billing
+    billed_on = listed.where(ever).select(none.cast("decimal(28,2)").alias("remains"), "billed")
+
+    def total(column: str, name: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0)).cast("decimal(28,2)").alias(name)
+
+    return remaining_on.unionByName(billed_on).agg(total("remains", "total_receivable"), total("billed", "billing"))
 
 
 def settled_invoices(tables: Tables) -> DataFrame:

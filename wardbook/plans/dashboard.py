@@ -27,17 +27,15 @@ def kpi_dashboard(
 ) -> DataFrame:
     """All key figures as one row.
 
-    Each figure is a scalar subquery, so Spark runs them side by side, and the
-    two consumption figures are fields of one. Both figures of invoices come
-    from one scan of them (``invoice_figures``), and no other fact table has two.
+    Each figure is a scalar subquery, so Spark runs them side by side. The two
+    consumption figures are fields of one, and so are the two of invoices, which
+    come from one scan of them (``invoice_figures``); no other fact table has two.
     """
     billed = last_days(F.col("final_invoice_date"), as_of)
-    receivable, billing = invoice_figures(tables, cutoff, billed)
+    invoiced = invoice_figures(tables, cutoff, billed).select(F.struct("total_receivable", "billing"))
     figures = {
-        "total_receivable": receivable,
         "client_receipts": kpi_client_receipts(tables, as_of),
         "donations": kpi_donations(tables, as_of),
-        "total_debtor_billing": billing,
         "pharmacy_consumption": kpi_pharmacy_consumption(tables, transfer_start, transfer_end),
     }
     consumed = kpi_consumption(tables, as_of).select(
@@ -49,13 +47,14 @@ def kpi_dashboard(
     return one_row.select(
         *(frame.scalar().alias(name) for name, frame in figures.items()),
         consumed.scalar().alias("consumed"),
+        invoiced.scalar().alias("invoiced"),
     ).select(
-        "total_receivable",
+        F.col("invoiced.total_receivable").alias("total_receivable"),
         F.col("consumed.quantity").alias("consumption_quantity"),
         F.col("consumed.value").alias("consumption_value"),
         "client_receipts",
         "donations",
-        "total_debtor_billing",
+        F.col("invoiced.billing").alias("total_debtor_billing"),
         "pharmacy_consumption",
     )
 
