@@ -16,6 +16,7 @@ KEYS = {
     "account_codes": ["coa_code"],
     "consumption_analysis": ["store_id"],
     "corporate_billing_monthly": ["subsidiary_code"],
+    "corporate_billing_all_years": ["year_code", "subsidiary_code"],
     "panel_inpatient": ["in_setup"],
     "panel_emergency": ["in_setup"],
     "panel_outpatient": ["in_setup"],
