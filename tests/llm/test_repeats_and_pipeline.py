@@ -176,7 +176,7 @@ def test_pipeline_odd_rows(spark, small_dir, made_docs):
 
 def test_queries_are_registered(spark, small_dir):
     known = entry_module.queries()
-    assert sorted(int(k[2:].split("_")[0]) for k in known if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in known if k.startswith("op")) == list(range(1, 14))
     assert "pipeline" in known and set(queries.ORACLE_SQL) <= set(known)
     columns = {
         "op1": ["vec_id", "n_links", "component_id", "kept"],
@@ -187,6 +187,9 @@ def test_queries_are_registered(spark, small_dir):
         "op7": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         "op9": ["doc_id", "held_out", "lang_pred", "score"],
         "op10": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        "op11": ["page_id", "url", "text", "n_chars"],
+        "op12": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+        "op13": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     }
     for name, query in queries.QUERIES.items():
         if name.split("_")[0] in columns:
@@ -208,7 +211,7 @@ def test_rows_without_an_id_or_of_one_id_spread(made_docs):
     assert kept == sorted(t for d, t in rows if d is None)
 
     def finish(frame, _):
-        return frame[["doc_id"]].astype({"doc_id": "Int64"}).assign(rows=len(frame), dealt=repeats.PART in frame)
+        return frame[["doc_id"]].astype({"doc_id": "Int64"}).assign(rows=len(frame), dealt="part" in frame)
 
     found = repeats.remove_repeats(docs, passages.WORDS, None, passages.edge_minima, finish, "doc_id long, rows long, dealt boolean", 2000)
     parts = found.collect()
