@@ -3,6 +3,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,3 +100,42 @@ def test_chunks_hold_each_phrase_once(text, overlap, modulus):
                 if i + n <= len(words):
                     found[tuple(words[i : i + n])] += times
     assert found == counts_of([text], overlap + 1)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abé \n"), min_size=1, max_size=12), max_size=8))
+def test_words_in_bytes(parts):
+    parts = [p.encode() for p in parts]
+    begins = np.cumsum([0, *map(len, parts)])[:-1]
+    data = b"".join(parts)
+    found = phrases.words_in(np.frombuffer(data, np.uint8), begins)
+    expected = [w for p in parts for w in p.split()]
+    assert [data[s : s + n] for s, n in zip(found.starts.tolist(), found.sizes.tolist(), strict=True)] == expected
+    assert [found.known[i].as_py() for i in found.numbers.tolist()] == expected
+    hashes = phrases.hashes_of(found.known, 7)
+    assert len(set(hashes.tolist())) == len(set(expected))
+
+
+def test_pairs_travel_packed():
+    """A task sends a pair once, in one message to a bucket, and counts too large for a byte still count."""
+    chunks = [pa.RecordBatch.from_pydict({"lang": ["en"], "chunk": [c], "times": pa.array([t], pa.int64())})
+              for c, t in [("a b c", 1000), ("b c d", 29), ("d a b\n", 1), ("x y", 20)]]
+    sent = [list(phrases.count_pairs(iter(part), 1, 2, 30)) for part in (chunks[:2], chunks[2:])]
+    for batches in sent:
+        assert len(batches) == 1
+        assert batches[0]["bucket"].to_pylist() == sorted(set(batches[0]["bucket"].to_pylist()))
+    table = pa.Table.from_batches([b for batches in sent for b in batches])
+    assert sum(len(h) for h in table["hashes"].to_pylist()) == 4 * (3 + 3)
+    frequent = []
+    for bucket in set(table["bucket"].to_pylist()):
+        rows = table.filter(pc.equal(table["bucket"], bucket))
+        frequent += phrases.frequent_pairs(rows, 30)["hash"].to_pylist()
+    assert len(frequent) == 2
+
+
+def test_frequencies_of_many_pairs(spark):
+    rows = [("en", " ".join(f"w{i * j % 997}" for j in range(400)) + ".") for i in range(1, 60)]
+    totals, found = phrases.frequencies(table_of(spark, rows), 2, 30)
+    assert totals.collect() == [("en", 59 * 400)]
+    plain = {" ".join(p): c for p, c in counts_of([t for _, t in rows], 2).items() if c >= 30}
+    assert {r["phrase"]: r["f"] for r in found.collect()} == plain

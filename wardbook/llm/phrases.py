@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +31,10 @@ BLOCK = 1 << 15
 BITS_EACH = 64
 MAX_BITS = 1 << 28
 """Bits of a bit set at most, 32 MB, whatever the number of its members."""
+HELD = 1 << 22
+"""Pairs of words that a task counts before it sends them."""
+SENT = 1 << 19
+"""Distinct chunks, about, whose pairs go to one bucket."""
 RANKED = 1 << 18
 """Phrases of one language that one task sorts."""
 GOES_ON = "\n"
@@ -40,6 +42,8 @@ GOES_ON = "\n"
 
 _STOPS = b".,;:!?\x0a\x0b\x0c\x0d"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
+_MARK = GOES_ON.encode()
+_CODES = np.random.default_rng(12).integers(0, 2**64, 256, np.uint64)
 _TABLE = bytes.maketrans(_UPPER + _STOPS + b"\t", _UPPER.lower() + b"\n" * len(_STOPS) + b" ")
 
 
@@ -68,12 +72,46 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[str
         yield from by_language(held)
 
 
-def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Each word's number, and the words by number."""
-    known = dict.fromkeys(words)
-    for number, word in enumerate(known):
-        known[word] = number
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), list(known)
+class Words(NamedTuple):
+    """The words of some bytes in order, as Arrow numbers them."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    numbers: np.ndarray
+    """A number of each word, equal for equal words."""
+    known: pa.Array
+    """The words by number."""
+
+
+def words_in(data: np.ndarray, begins: np.ndarray) -> Words:
+    """The words between spaces and line feeds; none goes on over a place of ``begins``."""
+    inside = (data != ord(" ")) & (data != ord("\n"))
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[begins] = inside[begins]
+    before = begins[begins > 0] - 1
+    last[before] = inside[before]
+    starts = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - starts
+    bounds = np.append(0, np.cumsum(sizes))
+    letters = [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), letters).dictionary_encode()
+    return Words(starts, sizes, coded.indices.to_numpy().astype(np.int64), coded.dictionary)
+
+
+def hashes_of(words: pa.Array, seed: int) -> np.ndarray:
+    """A hash of each word, as a polynomial in codes of its bytes. Different words may have one, which decides nothing."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[: bounds[-1]]
+    sizes = np.diff(bounds)
+    power = np.multiply.accumulate(np.full(sizes.max(), 0x9E3779B97F4A7C15, np.uint64))
+    place = np.arange(len(data)) - np.repeat(bounds[:-1], sizes)
+    sums = np.add.reduceat(_CODES[data] * power[place], bounds[:-1]) ^ np.uint64(seed)
+    sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return sums ^ (sums >> np.uint64(32))
 
 
 def chunks_of(text: bytes, overlap: int, modulus: int) -> Counter:
@@ -83,34 +121,39 @@ def chunks_of(text: bytes, overlap: int, modulus: int) -> Counter:
     begins the next, which shares that window. Equal text around a window
     gives equal chunks, wherever it stands. A chunk that goes on ends with ``GOES_ON``.
     """
-    pieces = [p.split() for p in text.translate(_TABLE).split(b"\n")]
-    words = list(chain.from_iterable(pieces))
-    if not words:
+    data = np.frombuffer(text.translate(_TABLE), np.uint8)
+    w = words_in(data, np.zeros(0, np.int64))
+    count = len(w.starts)
+    if not count:
         return Counter()
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    sizes = sizes[sizes > 0]
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    numbers, known = numbered(words)
-    hashes = np.array([zlib.crc32(w) for w in known], np.uint64)[numbers]
-    window = np.zeros(len(words), np.uint64)
-    room = max(len(words) - overlap + 1, 0)
+    begin = np.zeros(count + 1, bool)
+    begin[np.searchsorted(w.starts, np.flatnonzero(data == ord("\n")))] = True
+    begin[0] = True
+    begins = np.flatnonzero(begin[:count])
+    ends = np.append(begins[1:], count)
+    hashes = hashes_of(w.known, 0)[w.numbers]
+    window = np.zeros(count, np.uint64)
+    room = max(count - overlap + 1, 0)
     for k in range(overlap):
         window[:room] = (window[:room] * np.uint64(0x9E3779B97F4A7C15) + hashes[k : room + k]) ^ (window[:room] >> np.uint64(29))
-    within = np.arange(len(words)) + overlap <= np.repeat(ends, sizes)
+    within = np.arange(count) + overlap <= np.repeat(ends, ends - begins)
     begin = within & ((window >> np.uint64(7)) % np.uint64(modulus) == 0)
     begin[begins] = True
     starts = np.flatnonzero(begin)
-    following = np.append(starts[1:], len(words))
-    last = np.zeros(len(words) + 1, bool)
+    following = np.append(starts[1:], count)
+    last = np.zeros(count + 1, bool)
     last[ends] = True
     last = last[following]
     stops = np.where(last, following, following + overlap)
-    join = b" ".join
-    mark = GOES_ON.encode()
+    # The words with one separator after each: a chunk is a slice of that.
+    inside = (data != ord(" ")) & (data != ord("\n"))
+    inside[1:] |= inside[:-1]
+    joined = data[inside].tobytes()
+    after = np.cumsum(w.sizes + 1)
+    low, high = (after - w.sizes - 1)[starts], after[stops - 1] - 1
     return Counter(
-        join(words[s:e]) if final else join(words[s:e]) + mark
-        for s, e, final in zip(starts.tolist(), stops.tolist(), last.tolist(), strict=True)
+        joined[s:e] if final else joined[s:e] + _MARK
+        for s, e, final in zip(low.tolist(), high.tolist(), last.tolist(), strict=True)
     )
 
 
@@ -125,10 +168,11 @@ def parse(batches: Iterator[pa.RecordBatch], overlap: int, modulus: int) -> Iter
 class Chunks(NamedTuple):
     """Distinct chunks of one language, word by word."""
 
-    words: list[bytes]
-    numbers: np.ndarray
-    known: list[bytes]
+    data: bytes
+    """All chunks; the words of a chunk have one space between them."""
+    words: Words
     hashes: np.ndarray
+    """The hash of each word."""
     left: np.ndarray
     """Words from here to the end of the chunk."""
     counted: np.ndarray
@@ -137,18 +181,18 @@ class Chunks(NamedTuple):
 
 
 def read_chunks(lang: str, rows: pa.Table, overlap: int) -> Chunks:
-    chunks = rows["chunk"].cast(pa.binary()).to_pylist()
-    goes_on = np.array([c.endswith(b"\n") for c in chunks], bool)
-    split = [c.split() for c in chunks]
-    sizes = np.array([len(s) for s in split], np.int64)
-    words = list(chain.from_iterable(split))
-    numbers, known = numbered(words)
+    chunks = pa.concat_arrays(rows["chunk"].cast(pa.large_string()).chunks)
+    bounds = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+    data = np.frombuffer(chunks.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    words = words_in(data, bounds[:-1])
+    sizes = np.diff(np.searchsorted(words.starts, bounds))
     seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in known], np.uint64)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
-    counted = left > np.repeat(goes_on * overlap, sizes)
+    hashes = hashes_of(words.known, seed)[words.numbers]
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words.starts))
+    counted = left > np.repeat((data[bounds[1:] - 1] == ord("\n")) * overlap, sizes)
     times = np.repeat(rows["times"].to_numpy(), sizes)
-    return Chunks(words, numbers, known, hashes, left, counted, times)
+    return Chunks(data.tobytes(), words, hashes, left, counted, times)
 
 
 def members(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -164,46 +208,83 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def count_parts(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[pa.RecordBatch]:
-    """Counts of words by their text, of all words as neither, and of pairs of neighbouring words by hash."""
-    names = ["lang", "phrase", "hash", "f"]
+def count_pairs(
+    batches: Iterator[pa.RecordBatch], overlap: int, bits: int, min_count: int
+) -> Iterator[pa.RecordBatch]:
+    """Messages to buckets: pairs of neighbouring words, as four bytes of a hash, and their counts up to ``min_count``.
+
+    The first ``bits`` bits of the hash name the bucket.
+    """
+
+    def messages(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, counts = summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        bounds = np.arange(1, 1 << bits).astype(np.uint64) << np.uint64(64 - bits) if bits else []
+        cuts = np.searchsorted(keys, bounds)
+        low, high = np.append(0, cuts).astype(np.int64), np.append(cuts, len(keys)).astype(np.int64)
+        buckets = np.flatnonzero(low < high)
+        short, counts = keys.astype("<u4"), np.minimum(counts, min_count).astype(np.min_scalar_type(min_count))
+        places = list(zip(low[buckets].tolist(), high[buckets].tolist(), strict=True))
+        columns = [pa.array(buckets, pa.int32())] + [
+            pa.array([values[s:e].tobytes() for s, e in places], pa.binary()) for values in (short, counts)
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "hashes", "counts"])
+
+    held, size = [], 0
     for lang, rows in slices(batches, "chunk"):
         c = read_chunks(lang, rows, overlap)
-        keys, counts = summed(c.numbers[c.counted], c.times[c.counted])
-        words = pa.array([None, *(c.known[k] for k in keys.tolist())], pa.binary()).cast(pa.string())
-        counts = np.append(counts.sum(), counts)
-        none = pa.nulls(len(words), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words)), words, none, pa.array(counts)], names)
         at = np.flatnonzero(c.counted & (c.left >= 2))
-        keys, counts = summed(pair_hashes(c.hashes[c.numbers])[at], c.times[at])
-        none = pa.nulls(len(keys), pa.string())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(keys.view(np.int64)), pa.array(counts)], names)
+        held.append(summed(pair_hashes(c.hashes)[at], c.times[at]))
+        size += len(held[-1][0])
+        if size >= HELD:
+            yield messages(held)
+            held, size = [], 0
+    if held:
+        yield messages(held)
+
+
+def frequent_pairs(messages: pa.Table, min_count: int) -> pa.Table:
+    """Of one bucket's hashes, those that occur ``min_count`` times."""
+    hashes = np.frombuffer(b"".join(messages["hashes"].to_pylist()), "<u4")
+    counts = np.frombuffer(b"".join(messages["counts"].to_pylist()), np.min_scalar_type(min_count))
+    keys, counts = summed(hashes, counts.astype(np.int64))
+    return pa.table({"hash": keys[counts >= min_count].astype(np.int64)})
 
 
 def count_phrases(
     batches: Iterator[pa.RecordBatch], overlap: int, max_words: int, pairs
 ) -> Iterator[pa.RecordBatch]:
-    """Counts of phrases whose pairs of neighbouring words may all be frequent, by their text."""
+    """Counts of words, of all words as that of the phrase null, and of phrases whose pairs of neighbouring words
+    may all be frequent, by their text."""
+    names = ["lang", "phrase", "f"]
     for lang, rows in slices(batches, "chunk"):
         c = read_chunks(lang, rows, overlap)
-        good = (c.left >= 2) & members(pairs.value, pair_hashes(c.hashes[c.numbers]))
-        at, ids = np.flatnonzero(good), c.numbers
+        counts = np.zeros(len(c.words.known), np.int64)
+        np.add.at(counts, c.words.numbers[c.counted], c.times[c.counted])
+        met = np.flatnonzero(counts)
+        words = c.words.known.take(pa.array(met)).cast(pa.binary()).cast(pa.string())
+        words = pa.concat_arrays([pa.nulls(1, pa.string()), words])
+        counts = np.append(counts.sum(), counts[met])
+        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words)), words, pa.array(counts)], names)
+        good = (c.left >= 2) & members(pairs.value, pair_hashes(c.hashes))
+        at, ids = np.flatnonzero(good), c.words.numbers
+        starts, ends = c.words.starts, c.words.starts + c.words.sizes
         for n in range(2, max_words + 1):
             # Phrases of n words are those of n - 1 whose last two words are a good pair; each gets a number.
             if n > 2:
                 at = at[(c.left[at] >= n) & good[np.minimum(at + n - 2, len(good) - 1)]]
             if not len(at):
                 break
-            first, place = np.unique(ids[at] * len(c.known) + c.numbers[at + n - 1], return_inverse=True)
-            ids = np.zeros(len(c.words), np.int64)
+            first, place = np.unique(ids[at] * len(c.words.known) + c.words.numbers[at + n - 1], return_inverse=True)
+            ids = np.zeros(len(starts), np.int64)
             ids[at] = place
             here = c.counted[at]
             keys, counts = summed(place[here], c.times[at][here])
             shown = np.zeros(len(first), np.int64)
             shown[place] = at
-            texts = [b" ".join(c.words[s : s + n]) for s in shown[keys].tolist()]
-            phrases = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys)), phrases, pa.array(counts)], ["lang", "phrase", "f"])
+            shown = shown[keys]
+            low, high = starts[shown].tolist(), ends[shown + n - 1].tolist()
+            phrases = pa.array([c.data[s:e] for s, e in zip(low, high, strict=True)], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys)), phrases, pa.array(counts)], names)
 
 
 def bit_set(hashes: DataFrame):
@@ -239,20 +320,23 @@ def frequencies(docs: DataFrame, max_words: int, min_count: int, modulus: int =
     """``(lang, n)`` and ``(lang, phrase, f)`` of all phrases of up to ``max_words`` words that occur ``min_count`` times."""
     overlap = max_words - 1
     chunks = written(dictionary(docs, overlap, modulus))
+    spread = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = (max(parts_for(chunks.count(), SENT), spread) - 1).bit_length()
+    pairs = chunks.mapInArrow(
+        partial(count_pairs, overlap=overlap, bits=bits, min_count=min_count), "bucket int, hashes binary, counts binary"
+    )
 
-    def counted(count: Callable, schema: str, by: list[str], **options) -> DataFrame:
-        return chunks.mapInArrow(partial(count, overlap=overlap, **options), schema).groupBy(by).agg(F.sum("f").alias("f"))
+    def frequent(messages: pa.Table) -> pa.Table:
+        return frequent_pairs(messages, min_count)
 
-    often = F.col("f") >= min_count
-    parts = counted(count_parts, "lang string, phrase string, hash long, f long", ["lang", "phrase", "hash"])
-    parts = written(parts.filter(often | (F.col("phrase").isNull() & F.col("hash").isNull())))
-    singles = parts.filter("phrase is not null").select("lang", "phrase", "f")
-    pairs = bit_set(parts.filter("hash is not null").select("hash"))
-    longer = counted(
-        count_phrases, "lang string, phrase string, f long", ["lang", "phrase"], max_words=max_words, pairs=pairs
+    pairs = bit_set(written(pairs.groupBy("bucket").applyInArrow(frequent, "hash long")))
+    phrases = chunks.mapInArrow(
+        partial(count_phrases, overlap=overlap, max_words=max_words, pairs=pairs), "lang string, phrase string, f long"
     )
-    totals = parts.filter("phrase is null and hash is null").select("lang", F.col("f").alias("n"))
-    return totals, written(singles.unionByName(longer.filter(often)))
+    counted = phrases.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counted = written(counted.filter((F.col("f") >= min_count) | F.col("phrase").isNull()))
+    totals = counted.filter("phrase is null").select("lang", F.col("f").alias("n"))
+    return totals, counted.filter("phrase is not null")
 
 
 def scored(found: DataFrame, max_words: int, scale: int) -> DataFrame:
@@ -334,9 +418,9 @@ def collocations(
     A parse cuts pieces into overlapping chunks where word windows say so
     (``chunks_of``); the distinct chunks and how often each occurs are all that is
     counted. A phrase lies whole in a chunk and counts where it begins
-    outside the overlap with the next, so once. Words are counted first, and pairs of words by hash; a bit set of
-    bounded size then keeps out phrases that hold an infrequent pair, and the rest are counted by their
-    text. All counts that decide are exact.
+    outside the overlap with the next, so once. Pairs of words are counted first, by hash; a bit set of
+    bounded size then keeps out phrases that hold an infrequent pair, and words and the other phrases are
+    counted by their text. All counts that decide are exact.
     """
     totals, found = frequencies(docs, max_words, min_count, modulus)
     phrases = written(scored(found, max_words, scale))
