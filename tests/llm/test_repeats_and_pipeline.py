@@ -242,3 +242,32 @@ def test_giant_seeds_are_seen_however_few_parts(made_docs):
     other = messages.assign(part=1)
     flags = repeats.compare_seeds(pd.concat([messages, other]), giant=600)["flags"].iloc[0]
     assert (np.frombuffer(flags, np.uint8) & 2).any() == (2 * counts.max() > 600)
+
+
+def test_blocks_cut_no_run(monkeypatch):
+    texts = [(REPEAT * 3 + "middle").encode(), b"", b"short", (REPEAT + "end").encode()]
+    whole = repeats.runs_of(substrings.split_bytes(texts), substrings.BYTES)
+    monkeypatch.setattr(repeats, "_BLOCK", 37)
+    again = repeats.runs_of(substrings.split_bytes(texts), substrings.BYTES)
+    for name in ("doc", "first", "size", "seed", "anchor"):
+        assert getattr(whole, name).tolist() == getattr(again, name).tolist()
+
+
+@pytest.mark.parametrize("giant", [False, True])
+def test_entries_do_not_depend_on_the_order_of_rows(made_docs, monkeypatch, giant):
+    """The second and the third step find the same entries, though a part's rows may come in another order."""
+    monkeypatch.setattr(repeats, "_BATCH_BYTES", 300)
+    frame = made_docs([(i, f"{i % 3} {REPEAT} {i}") for i in range(12)]).toPandas()
+    unit, found = substrings.BYTES, []
+    for rows in (frame, frame[::-1].reset_index(drop=True)):
+        batches = repeats.batches_of(rows, unit)
+        seed = repeats.seeds_of(batches)[0]
+        flags = np.full(len(seed), 1 + 2 * giant, np.uint8).tobytes()
+        shared = repeats.Shared.of(batches, pd.DataFrame({"bucket": [0], "flags": [flags]}))
+        entries = repeats.entries_of(batches, shared, unit, lambda s: s[0] % 5, 5)
+        assert entries.bucket.tolist() == sorted(entries.bucket.tolist())
+        for batch, (runs, entry) in zip(batches, entries.runs, strict=True):
+            low, high = batch.elements.bounds(runs.first, runs.first + runs.size + unit.window - 2)
+            assert [entries.text[e] for e in entry.tolist()] == [batch.elements.buffer[a:b] for a, b in zip(low, high, strict=True)]
+        found.append((entries.bucket.tolist(), entries.text, entries.seed.tolist(), entries.doc.tolist()))
+    assert len(found[0][1]) > 5 and found[0] == found[1]

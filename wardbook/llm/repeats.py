@@ -22,6 +22,8 @@ nothing from each other, so they need not meet. Only rows equal in both lie in o
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +39,8 @@ PART_BYTES = 4_000_000
 GIANT = 100_000
 """Runs of one seed, in all documents, from which on its windows are dealt out one by one."""
 _BATCH_BYTES = 1 << 20
-_BLOCK = 1 << 20
+_BLOCK = 1 << 15
+"""Elements whose hashes are made at once: few enough to stay in a processor's cache."""
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _ALL = np.uint32(2**32 - 1)
 
@@ -108,12 +111,15 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
                 out, have = step, length
             else:
                 n = len(hashes) - have - length + 1
-                out = out[:n] * power(length) + step[have : have + n]
+                out = out[:n] * power(length)
+                out += step[have : have + n]
                 have += length
         size >>= 1
         if size:
             n = len(step) - length
-            step = step[:n] * power(length) + step[length : length + n]
+            doubled = step[:n] * power(length)
+            doubled += step[length : length + n]
+            step = doubled
             length *= 2
     out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(32))
@@ -130,27 +136,31 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def runs_of(elements: Elements, unit: Unit) -> Runs:
-    """All runs of a batch; long batches go block by block, which cuts runs but moves no anchor."""
+    """All runs of a batch; its anchors are found block by block."""
+    total = len(elements.hashes)
     ends = np.cumsum(elements.lengths)
     starts = ends - elements.lengths
     long = elements.lengths >= unit.window
-    inside = np.zeros(len(elements.hashes) + 1, np.int8)
+    inside = np.zeros(total + 1, np.int8)
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - unit.window + 1, -1)
     inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
-    found = []
-    for at in range(0, len(elements.hashes) - unit.window + 1, _BLOCK):
-        seeds = grams(elements.hashes[at : at + _BLOCK + unit.window - 1], unit.seed)
-        marked = (seeds & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(seeds), dtype=np.uint64)
-        anchor = (sliding_min(marked, unit.window - unit.seed + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
-        anchor[~inside[at : at + len(anchor)]] = -1
-        change = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        size = np.diff(np.r_[change, len(anchor)])
-        change, size = change[anchor[change] >= 0], size[anchor[change] >= 0]
-        found.append((change + at, size, seeds[anchor[change]], anchor[change] + at))
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    first, size, seed, anchor = (np.concatenate(c) for c in zip(none, *found, strict=True))
-    return Runs(np.searchsorted(ends, first, side="right"), first, size, seed, anchor)
+    seeds = np.zeros(total, np.uint64)
+    anchor = np.zeros(max(total - unit.window + 1, 0), np.int64)
+    for at in range(0, len(anchor), _BLOCK):
+        here = grams(elements.hashes[at : at + _BLOCK + unit.window - 1], unit.seed)
+        seeds[at : at + len(here)] = here
+        marked = (here & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(here), dtype=np.uint64)
+        least = sliding_min(marked, unit.window - unit.seed + 1) & np.uint64(0xFFFFFF)
+        anchor[at : at + len(least)] = least
+        anchor[at : at + len(least)] += at
+    anchor[~inside[: len(anchor)]] = -1
+    first = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+    first = np.append(np.zeros(min(len(anchor), 1), np.int64), first)
+    size = np.diff(np.append(first, len(anchor)))
+    known = anchor[first] >= 0
+    first, size = first[known], size[known]
+    return Runs(np.searchsorted(ends, first, side="right"), first, size, seeds[anchor[first]], anchor[first])
 
 
 def batches_of(frame: pd.DataFrame, unit: Unit) -> list[Batch]:
@@ -175,22 +185,22 @@ def batches_of(frame: pd.DataFrame, unit: Unit) -> list[Batch]:
     return out
 
 
-def seeds_of(batches: list[Batch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The seeds of a part in order, whether several of its documents have them, and how many runs."""
+def seeds_of(batches: list[Batch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The seeds of a part in order, whether several of its documents have them, how many runs, and those runs' places."""
     seed = np.concatenate([np.zeros(0, np.uint64), *(b.runs.seed for b in batches)])
     doc = np.concatenate([np.zeros(0, np.int64), *(b.ids[b.runs.doc] for b in batches)])
+    order = np.argsort(seed)
     if not len(seed):
-        return seed, np.zeros(0, bool), np.zeros(0, np.int64)
-    order = np.argsort(seed, kind="stable")
+        return seed, np.zeros(0, bool), np.zeros(0, np.int64), order
     seed, doc = seed[order], doc[order]
-    start = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
+    start = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
     several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
-    return seed[start], several, np.diff(np.r_[start, len(seed)])
+    return seed[start], several, np.diff(np.append(start, len(seed))), order
 
 
 def tell_seeds(frame: pd.DataFrame, part: int, unit: Unit, bits: int) -> pd.DataFrame:
     """Messages of a part to the seed buckets: six bytes of each seed (beside the bucket), and its runs."""
-    seed, _, count = seeds_of(batches_of(frame, unit))
+    seed, _, count, _ = seeds_of(batches_of(frame, unit))
     bucket = (seed >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seed), np.int64)
     rows = []
     for b in np.unique(bucket):
@@ -221,28 +231,26 @@ def compare_seeds(messages: pd.DataFrame, giant: int) -> pd.DataFrame:
 
 @dataclass
 class Shared:
-    """The seeds of a part that several documents have, and which of them have too many runs."""
+    """Of each run of a part, batch after batch, whether several documents have its seed, and whether that has too many runs."""
 
-    seed: np.ndarray
-    giant: np.ndarray
+    shared: list[np.ndarray]
+    giant: list[np.ndarray]
 
     @classmethod
     def of(cls, batches: list[Batch], answers: pd.DataFrame) -> Shared:
-        seed, several, _ = seeds_of(batches)
+        seed, several, count, order = seeds_of(batches)
         flags = np.frombuffer(b"".join(answers.sort_values("bucket")["flags"]), np.uint8)
         assert len(flags) == len(seed), "these answers belong to another part"
-        keep = several | (flags & 1 > 0)
-        return cls(seed[keep], flags[keep] & 2 > 0)
-
-    def runs(self, batch: Batch, unit: Unit) -> tuple[Runs, np.ndarray, list[bytes]]:
-        """The runs with a shared seed, whether they are single windows of a giant one, and their texts."""
-        runs = batch.runs
-        if len(self.seed):
-            at = np.minimum(np.searchsorted(self.seed, runs.seed), len(self.seed) - 1)
-            shared, big = self.seed[at] == runs.seed, self.giant[at]
-        else:
-            shared = big = np.zeros(len(runs.seed), bool)
-        few, many = runs.pick(shared & ~big), runs.pick(shared & big)
+        shared, giant = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        shared[order] = np.repeat(several | (flags & 1 > 0), count)
+        giant[order] = np.repeat(flags & 2 > 0, count)
+        cuts = np.cumsum([len(b.runs.seed) for b in batches])[:-1]
+        return cls(np.split(shared, cuts), np.split(giant, cuts))
+
+    def runs(self, number: int, batch: Batch, unit: Unit) -> tuple[Runs, np.ndarray, list[bytes]]:
+        """The runs of a batch with a shared seed, whether they are single windows of a giant one, and their texts."""
+        shared, big = self.shared[number], self.giant[number]
+        few, many = batch.runs.pick(shared & ~big), batch.runs.pick(shared & big)
         each = np.repeat(np.arange(len(many.seed)), many.size)
         step = np.arange(len(each)) - np.repeat(np.cumsum(many.size) - many.size, many.size)
         many = many.pick(each)
@@ -261,45 +269,67 @@ class Shared:
 
 @dataclass
 class Entries:
-    """The different run texts of a part, sorted by bucket and text, each with its smallest document."""
+    """The different run texts of a part, sorted by bucket, seed and text, each with its smallest document.
+
+    ``runs`` are those of each batch that have a shared seed, and which entry each is.
+    """
 
     bucket: np.ndarray
     text: list[bytes]
     seed: np.ndarray
     doc: np.ndarray
-    index: dict[bytes, int] = field(repr=False)
+    runs: list[tuple[Runs, np.ndarray]] = field(repr=False)
+
+
+def numbering() -> defaultdict:
+    """Numbers for what is looked up, in the order of first sight."""
+    return defaultdict(itertools.count().__next__)
 
 
 def entries_of(batches: list[Batch], shared: Shared, unit: Unit, place: Callable[[bytes], int], buckets: int) -> Entries:
     """``place`` gives the bucket of the text of a run's seed; single windows go by a hash of theirs."""
-    least: dict[bytes, int] = {}
-    home: dict[bytes, tuple[int, int]] = {}
+    known = numbering()
+    found: list[tuple[Runs, np.ndarray]] = []
+    seeds, homes, leasts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(0, np.int64)
     places: dict[int, int] = {}
-    for batch in batches:
-        runs, alone, texts = shared.runs(batch, unit)
-        low, high = batch.elements.bounds(runs.anchor, runs.anchor + (unit.seed - 1))
-        docs = batch.ids[runs.doc].tolist()
-        for at, text in enumerate(texts):
-            had = least.get(text)
-            if had is None:
-                least[text] = docs[at]
-                seed = int(runs.seed[at])
-                if alone[at]:
-                    seed = xxhash.xxh3_64_intdigest(text)
-                    home[text] = (seed % buckets, seed)
-                else:
-                    if seed not in places:
-                        places[seed] = place(batch.elements.buffer[low[at] : high[at]])
-                    home[text] = (places[seed], seed)
-            elif docs[at] < had:
-                least[text] = docs[at]
-    order = sorted(least, key=lambda t: (home[t][0], t))
+    for number, batch in enumerate(batches):
+        runs, alone, texts = shared.runs(number, batch, unit)
+        had = len(known)
+        entry = np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
+        found.append((runs, entry))
+        leasts = np.append(leasts, np.full(len(known) - had, np.iinfo(np.int64).max))
+        np.minimum.at(leasts, entry, batch.ids[runs.doc])
+        at = np.zeros(len(known) - had, np.int64)
+        new = np.flatnonzero(entry >= had)[::-1]
+        at[entry[new] - had] = new
+        low, high = batch.elements.bounds(runs.anchor[at], runs.anchor[at] + (unit.seed - 1))
+        seed, home = runs.seed[at], np.zeros(len(at), np.int64)
+        for i, (own, a, b, single) in enumerate(zip(seed.tolist(), low, high, alone[at].tolist(), strict=True)):
+            if single:
+                seed[i] = own = xxhash.xxh3_64_intdigest(texts[at[i]])
+                home[i] = own % buckets
+                continue
+            bucket = places.get(own)
+            if bucket is None:
+                bucket = places[own] = place(batch.elements.buffer[a:b])
+            home[i] = bucket
+        seeds.append(seed)
+        homes.append(home)
+    text, seed, home = list(known), np.concatenate(seeds), np.concatenate(homes)
+    order = np.argsort(seed)
+    order = order[np.argsort(home[order], kind="stable")]
+    same = (np.diff(seed[order]) == 0) & (np.diff(home[order]) == 0)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    for low, high in edges.reshape(-1, 2).tolist():
+        order[low : high + 1] = sorted(order[low : high + 1].tolist(), key=text.__getitem__)
+    where = np.zeros(len(order), np.int64)
+    where[order] = np.arange(len(order))
     return Entries(
-        np.array([home[t][0] for t in order], np.int64),
-        order,
-        np.array([home[t][1] for t in order], np.uint64),
-        np.array([least[t] for t in order], np.int64),
-        {t: i for i, t in enumerate(order)},
+        home[order],
+        [text[i] for i in order.tolist()],
+        seed[order],
+        leasts[order],
+        [(runs, where[entry]) for runs, entry in found],
     )
 
 
@@ -328,17 +358,16 @@ def compare_runs(messages: pd.DataFrame, window_minima: Callable) -> pd.DataFram
     Runs are compared as text. A text whose seed has no other text decides all its
     windows at once; of seeds with several texts, ``window_minima`` compares the windows.
     """
-    texts: dict[bytes, int] = {}
+    texts = numbering()
     index, docs, seeds, sizes = [], [], [], []
     for m in messages.itertuples(index=False):
-        at = 0
-        for size in np.frombuffer(m.sizes, "<u4").tolist():
-            index.append(texts.setdefault(m.texts[at : at + size], len(texts)))
-            at += size
+        ends = np.cumsum(np.frombuffer(m.sizes, "<u4"), dtype=np.int64)
+        bounds = zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)
+        index.append(np.fromiter((texts[m.texts[a:b]] for a, b in bounds), np.int64, len(ends)))
         docs.append(np.frombuffer(m.docs, "<i8"))
         seeds.append(np.frombuffer(m.seeds, "<u8"))
         sizes.append(len(docs[-1]))
-    number, doc = np.array(index), np.concatenate(docs)
+    number, doc = np.concatenate(index), np.concatenate(docs)
     least = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(least, number, doc)
     seed = np.zeros(len(texts), np.uint64)
@@ -356,7 +385,7 @@ def compare_runs(messages: pd.DataFrame, window_minima: Callable) -> pd.DataFram
     )
 
 
-def covered(batches: list[Batch], shared: Shared, entries: Entries, answers: pd.DataFrame, unit: Unit) -> Iterator[tuple]:
+def covered(batches: list[Batch], entries: Entries, answers: pd.DataFrame, unit: Unit) -> Iterator[tuple]:
     """``(row, elements, place, covered)`` of every row of a part.
 
     ``covered`` says which of the row's elements lie in a window that also starts in a smaller
@@ -364,17 +393,20 @@ def covered(batches: list[Batch], shared: Shared, entries: Entries, answers: pd.
     """
     masks = np.frombuffer(b"".join(answers.sort_values("bucket")["masks"]), "<u4")
     assert len(masks) == len(entries.text), "these answers belong to another part"
-    for batch in batches:
-        runs, _, texts = shared.runs(batch, unit)
-        index = np.fromiter((entries.index[t] for t in texts), np.int64, len(texts))
-        mask = np.where(batch.ids[runs.doc] > entries.doc[index], _ALL, masks[index])
-        mask &= ((np.uint64(1) << runs.size.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    for batch, (runs, entry) in zip(batches, entries.runs, strict=True):
+        every = ((np.uint64(1) << runs.size.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+        mask = np.where(batch.ids[runs.doc] > entries.doc[entry], _ALL, masks[entry]) & every
         marks = np.zeros(int(batch.elements.lengths.sum()) + 1, np.int32)
+        whole = mask == every
+        np.add.at(marks, runs.first[whole], 1)
+        np.add.at(marks, runs.first[whole] + runs.size[whole] + (unit.window - 1), -1)
+        some = ~whole & (mask > 0)
+        first, mask = runs.first[some], mask[some]
         for bit in range(unit.window - unit.seed + 1):
-            first = runs.first[(mask >> np.uint32(bit)) & np.uint32(1) > 0] + bit
-            np.add.at(marks, first, 1)
-            np.add.at(marks, first + unit.window, -1)
-        removed = np.cumsum(marks[:-1]) > 0
+            at = first[(mask >> np.uint32(bit)) & np.uint32(1) > 0] + bit
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + unit.window, -1)
+        removed = np.cumsum(marks[:-1], dtype=np.int32) > 0
         end = np.cumsum(batch.elements.lengths)
         for row, high, size in zip(batch.rows.tolist(), end.tolist(), batch.elements.lengths.tolist(), strict=True):
             yield row, batch.elements, slice(high - size, high), removed[high - size : high]
@@ -427,9 +459,8 @@ def remove_repeats(
 
     def third(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         batches = batches_of(frame, unit)
-        shared = Shared.of(batches, answers[answers["flags"].notna()])
-        entries = entries_of(batches, shared, unit, at, buckets)
-        return finish(frame, covered(batches, shared, entries, answers[answers["masks"].notna()], unit))
+        entries = entries_of(batches, Shared.of(batches, answers[answers["flags"].notna()]), unit, at, buckets)
+        return finish(frame, covered(batches, entries, answers[answers["masks"].notna()], unit))
 
     flags = (
         dealt.groupBy(name)

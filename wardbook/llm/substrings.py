@@ -66,9 +66,15 @@ def multikey_groups(words: np.ndarray) -> np.ndarray:
         if not len(active):
             break
         key = words[active, column]
-        order = np.lexsort((key, group[active]))
+        order = np.argsort(key)
+        if column:
+            # By group, and in it by the rank of the word: both fit into one number.
+            ranked = key[order]
+            rank = np.zeros(len(order), np.int64)
+            rank[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))
+            order = np.argsort(group[active] * (rank[order[-1]] + 1) + rank)
         rows, key, old = active[order], key[order], group[active][order]
-        first = np.r_[True, (old[1:] != old[:-1]) | (key[1:] != key[:-1])]
+        first = np.append(True, (old[1:] != old[:-1]) | (key[1:] != key[:-1]))
         start = np.flatnonzero(first)
         size = np.diff(np.r_[start, len(rows)])
         # A group keeps the number of its first place, so numbers stay in order and free for those it splits into.
@@ -109,9 +115,10 @@ def _digests(frame: pd.DataFrame, found: Iterator[tuple]) -> pd.DataFrame:
     rows = []
     for row, elements, place, removed in found:
         text = np.frombuffer(elements.buffer, np.uint8)[place]
-        spans = int(np.count_nonzero(np.diff(np.r_[False, removed].astype(np.int8)) > 0))
-        kept = text[~removed].tobytes()
-        rows.append((row, len(text), int(removed.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+        n_removed = int(np.count_nonzero(removed))
+        spans = int(removed[0]) + int(np.count_nonzero(removed[1:] > removed[:-1])) if n_removed else 0
+        kept = (text[~removed] if n_removed else text).tobytes()
+        rows.append((row, len(text), n_removed, spans, hashlib.sha256(kept).hexdigest(), kept))
     out = pd.DataFrame(rows, columns=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).set_index("row")
     return frame[["doc_id"]].reset_index(drop=True).astype({"doc_id": "Int64"}).join(out)
 
