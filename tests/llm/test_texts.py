@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 
 from tests.llm.conftest import ODD_ROWS, in_order
 from wardbook.llm import encoding, language, licences, tokens, toxicity
+from wardbook.llm.support import BATCH_BYTES
 
 
 def encoded(text):
@@ -119,6 +120,27 @@ def test_toxicity_odd_rows(made_docs, spark, more_documents, labels):
     assert by[20] > by[21] and by[2] == by[3]
 
 
+def test_texts_go_to_python_in_small_batches(made_docs, spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"size": [sum(map(len, batch["text"]))]})
+
+    limit, text = "spark.sql.execution.arrow.maxBytesPerBatch", "word " * 20_000
+    docs = made_docs([(i, text) for i in range(100)]).coalesce(1)
+    before = spark.conf.get(limit, None)
+    try:
+        for send in (lambda: toxicity.with_features(docs, {}), lambda: toxicity.learn_words(docs.selectExpr("text", "1D AS label"))):
+            spark.conf.unset(limit)
+            send()
+            found = [r["size"] for r in docs.mapInPandas(sizes, "size long").collect()]
+            assert sum(found) == 100 * len(text) and max(found) <= BATCH_BYTES + len(text)
+        spark.conf.set(limit, "1m")
+        toxicity.with_features(docs, {})
+        assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
+
+
 def test_features_see_hidden_and_shouted_words():
     names = toxicity.FEATURES
     found = dict(zip(names, toxicity.features_of("You 1diot!! SHOUT sooo", {"soon": 1.0}), strict=True))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1 << 18
 """A list of single keys is broadcast up to this many rows (some 4 MB), and shuffled beyond."""
+BATCH_BYTES = 1 << 21
+"""Bytes of a batch of rows on its way to Python, after which the next begins."""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,16 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of ``BATCH_BYTES``, here and in what the session runs later; a limit that the session sets is kept.
+
+    By Spark's own limits, 10,000 rows or 64 MB, all texts of a task go in one batch,
+    which the executor and its Python worker then hold several times over.
+    """
+    if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts, to size partitions by."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardbook.llm.support import keyed, table, written
+from wardbook.llm.support import keyed, small_batches, table, written
 
 TRAIN_ROWS = 20_000
 """Labelled documents that are learned from, at most; the ones with the smallest hash of their id."""
@@ -123,6 +123,7 @@ def with_features(docs: DataFrame, learned: dict[str, float]) -> DataFrame:
         for texts in batches:
             yield pd.Series([features_of(t, learned) for t in texts])
 
+    small_batches(docs.sparkSession)
     return docs.withColumn("dense", F.pandas_udf(make, "array<double>")("text"))
 
 
@@ -137,6 +138,7 @@ def learn_words(labelled: DataFrame) -> dict[str, float]:
             rows = [(w, n if y else 0, n) for (w, y), n in counts.items()]
             yield pd.DataFrame(rows, columns=["word", "toxic", "total"])
 
+    small_batches(labelled.sparkSession)
     totals = labelled.agg(F.sum("label"), F.count("*")).first()
     base = (totals[0] or 0) / max(1, totals[1])
     if not base:
