@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -12,6 +14,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import ODD_ROWS, in_order
 from wardbook.llm import packing, tokens, vectors
+from wardbook.llm.support import shared_folder
 
 VECTOR = "vec_id long, embedding array<float>, label int"
 
@@ -73,6 +76,56 @@ def test_vectors_that_link_with_nothing(spark):
     assert vectors.near_vectors(spark.createDataFrame([], VECTOR)).count() == 0
 
 
+def folder_bytes(spark):
+    folder = shared_folder(spark).removeprefix("file://")
+    return sum(p.stat().st_size for p in Path(folder).rglob("*.parquet"))
+
+
+def test_vectors_are_not_copied_for_each_cell(spark):
+    """Vectors at random lie near all cells' borders: what is written stays a small multiple of them, however many the cells."""
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((2000, 64))
+    rows[1000:1040] = rows[0] + rng.standard_normal((40, 64)) * 0.02
+    frame = spark.createDataFrame([(i, v, 0) for i, v in enumerate(rows.tolist())], VECTOR).repartition(4)
+    before = folder_bytes(spark)
+    found = in_order(vectors.near_vectors(frame, pivot_rows=20, block_rows=100), "vec_id")
+    assert folder_bytes(spark) - before < 5 * rows.astype(np.float32).nbytes
+    links, least = brute_links(np.arange(2000), rows.astype(np.float32), 0.9)
+    assert (found["n_links"].to_numpy() == links).all() and links[0] == 40
+    assert (found["component_id"].to_numpy() == least).all()
+
+
+def test_batches_of_vectors_stay_small(spark):
+    """A batch of vectors far from any structure gives one row for each, and a block of them is one row of its own bytes."""
+    rng = np.random.default_rng(4)
+    pivots = vectors._unit(rng.standard_normal((512, 64)))
+    values = pa.array(rng.standard_normal(64 * 3000).astype(np.float32))
+    lists = pa.ListArray.from_arrays(pa.array(range(0, 64 * 3000 + 1, 64), pa.int32()), values)
+    ids = pa.array(range(3000), pa.int64())
+    batch = pa.record_batch({"k1": ids, "k2": ids, "embedding": lists, "low": ids, "size": ids})
+    (homes,) = vectors.homes_of(iter([batch]), pivots)
+    assert homes.num_rows == 3000 and len(set(homes["cell"].to_pylist())) > 400
+    table = pa.Table.from_batches([homes]).append_column("chunk", pa.repeat(pa.scalar(0, pa.int32()), 3000))
+    assert vectors.packed(table, pivots).nbytes < 1.2 * table.nbytes
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_links_within_each_dimension(spark, kind):
+    rng = np.random.default_rng(5)
+    rows, ids = [], []
+    for width, of in ((3, 0), (8, 1000), (1, 2000)):
+        some = rng.standard_normal((150, width)).astype(np.float32).astype(float)
+        rows += some.tolist()
+        ids += range(of, of + 150)
+    frame = spark.createDataFrame([*zip(ids, rows, [0] * 450, strict=True)], f"vec_id long, embedding array<{kind}>, label int")
+    found = in_order(vectors.near_vectors(frame.repartition(3), pivot_rows=30, block_rows=16), "vec_id")
+    for of in (0, 1000, 2000):
+        links, least = brute_links(np.arange(of, of + 150), rows[of * 150 // 1000 :][:150], 0.9)
+        part = found[found["vec_id"].between(of, of + 149)]
+        assert (part["n_links"].to_numpy() == links).all()
+        assert (part["component_id"].to_numpy() == least).all()
+
+
 def check_places(found, texts):
     for doc, group in found.groupby("doc_id"):
         ids = packing.token_ids(texts[doc], tokens.PACKING_VOCABULARY, 2)

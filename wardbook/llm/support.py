@@ -39,11 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """``frame`` as a table in the shared folder: its lineage is cut, and it survives lost executors."""
+def written(frame: DataFrame, options: dict | None = None) -> DataFrame:
+    """``frame`` as a table in the shared folder: its lineage is cut, and it survives lost executors; ``options`` are the file writer's."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/wardbook/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.options(**(options or {})).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
